@@ -6,17 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lynceus.llm import simhash
+from lynceus.llm import decontaminate, language, quality, simhash, toxicity
 from lynceus.llm.frames import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every toxic document with its score."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")), only_toxic=True)
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language, and whether it is accepted."""
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a passage of a benchmark item, with the item."""
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality, and whether it is accepted."""
+    docs = read(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint, its group of near copies, and whether it stays."""
     return simhash.groups(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language": op2_language,
+    "op3_decontamination": op3_decontamination,
+    "op4_quality": op4_quality,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontaminate.ORACLE_SQL,
+}
