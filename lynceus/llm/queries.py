@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lynceus.llm import decontaminate, language, quality, simhash, toxicity
+from lynceus.llm import decontaminate, language, licenses, packing, quality, simhash, tokens, toxicity
 from lynceus.llm.frames import read
 
 
@@ -33,6 +33,21 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and line that is a known license or notice."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token count of every document."""
+    return tokens.counts(read(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence and offset of every piece of every document."""
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint, its group of near copies, and whether it stays."""
     return simhash.groups(read(spark, sf_dir, "documents"))
@@ -43,9 +58,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
+    "op5_licenses": op5_licenses,
+    "op7_token_counts": op7_token_counts,
+    "op9_packing": op9_packing,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontaminate.ORACLE_SQL,
+    "op5_licenses": licenses.ORACLE_SQL,
 }
