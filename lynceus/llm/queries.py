@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lynceus.llm import decontaminate, language, licenses, packing, quality, simhash, tokens, toxicity
+from lynceus.llm import decontaminate, language, licenses, ogg, packing, quality, simhash, tokens, toxicity
 from lynceus.llm.frames import read
 
 
@@ -43,6 +43,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counts(read(spark, sf_dir, "documents"))
 
 
+def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logical streams of every document's media."""
+    return ogg.streams(ogg.wrap(read(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequence and offset of every piece of every document."""
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_licenses": op5_licenses,
     "op7_token_counts": op7_token_counts,
+    "op8_ogg_media": op8_ogg_media,
     "op9_packing": op9_packing,
     "op10_simhash_dedup": op10_simhash_dedup,
 }

@@ -53,36 +53,44 @@ class Automaton:
     fail: np.ndarray
     pops: np.ndarray
     ends: np.ndarray
+    popped: tuple[np.ndarray, np.ndarray]  # first of each node in a list of popped ids, and that list
+    ended: tuple[np.ndarray, np.ndarray]  # the same for the ids that finish a unit
 
     @classmethod
     def of(cls, vocabulary: Iterable[bytes]) -> Automaton:
-        entries = {bytes([b]) for b in range(256)} | {v for v in vocabulary if v}
+        ids = {v: i for i, v in reversed(list(enumerate(vocabulary))) if v}
+        for b in range(256):  # bytes that the vocabulary lacks come after it
+            ids.setdefault(bytes([b]), len(ids))
+        entries = ids
         children: list[dict[int, int]] = [{}]
-        final = [False]
+        final = [-1]
         for entry in sorted(entries):
             node = 0
             for byte in entry:
                 if byte not in children[node]:
                     children[node][byte] = len(children)
                     children.append({})
-                    final.append(False)
+                    final.append(-1)
                 node = children[node][byte]
-            final[node] = True
+            final[node] = ids[entry]
         n = len(children)
         fail, pops, ends = [0] * n, [0] * n, [0] * n
+        pop_ids: list[tuple[int, ...]] = [()] * n
+        end_ids: list[tuple[int, ...]] = [()] * n
         queue = deque([0])
         while queue:
             parent = queue.popleft()
             for byte, node in children[parent].items():
                 queue.append(node)
-                if final[node]:
-                    fail[node], pops[node] = 0, 1
+                if final[node] >= 0:
+                    fail[node], pop_ids[node] = 0, (final[node],)
                 else:
-                    at, popped = fail[parent], pops[parent]
+                    at, popped = fail[parent], pop_ids[parent]
                     while byte not in children[at]:  # the root has every byte
-                        at, popped = fail[at], popped + pops[at]
-                    fail[node], pops[node] = children[at][byte], popped
-                ends[node] = pops[node] + ends[fail[node]]
+                        at, popped = fail[at], popped + pop_ids[at]
+                    fail[node], pop_ids[node] = children[at][byte], popped
+                end_ids[node] = pop_ids[node] + end_ids[fail[node]]
+                pops[node], ends[node] = len(pop_ids[node]), len(end_ids[node])
         slot, base, cells = [0] * n, [0] * n, bytearray(8 * n + 4096)
         taken = np.frombuffer(cells, bool)
         taken[0] = True
@@ -118,10 +126,21 @@ class Automaton:
         arrays[2][where] = where[fail]
         arrays[3][where] = pops
         arrays[4][where] = ends
-        return cls(*arrays)
+        lists = []
+        for of_node in (pop_ids, end_ids):
+            at, flat = np.zeros(size, np.int32), []
+            for node, own in enumerate(of_node):
+                at[slot[node]] = len(flat)
+                flat.extend(own)
+            lists.append((at, np.array(flat, np.int32)))
+        return cls(*arrays, *lists)
 
-    def count(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Greedy token count of every span of ``raw``."""
+    def count(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seen: list | None = None) -> np.ndarray:
+        """Greedy token count of every span of ``raw``.
+
+        ``seen`` gets, in the order of reading, the spans that popped entries
+        and the nodes that they left by their failure links.
+        """
         order = np.argsort(starts - ends, kind="stable")  # longest first
         begin, length = starts[order], (ends - starts)[order]
         state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
@@ -138,6 +157,8 @@ class Automaton:
             while len(stuck):
                 s = at[stuck]
                 total[stuck] += self.pops[s]
+                if seen is not None:
+                    seen.append((order[stuck], s))
                 at[stuck] = s = self.fail[s].astype(np.int64)
                 t = self.base[s] + byte[stuck]
                 moved[stuck] = t
@@ -151,13 +172,48 @@ class Automaton:
                 for byte in raw[begin[k] + step : begin[k] + length[k]].tolist():
                     while check[base[s] + byte] != s:
                         n += int(pops[s])
+                        if seen is not None:
+                            seen.append((order[k : k + 1], np.array([s])))
                         s = int(fail[s])
                     s = int(base[s]) + byte
                 state[k], total[k] = s, n
         out = np.empty(len(order), np.int64)
         out[order] = total + self.ends[state]
+        if seen is not None:
+            seen.append((order, state))
         return out
 
+    def pieces(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the greedy pieces of all spans, and where each span's begin."""
+        seen: list = []
+        count = self.count(raw, starts, ends, seen)
+        spans, nodes = np.concatenate([x for x, _ in seen]), np.concatenate([x for _, x in seen])
+        last = np.zeros(len(spans), bool)
+        last[len(spans) - len(starts) :] = True
+        order = np.argsort(spans, kind="stable")
+        nodes, last = nodes[order], last[order]
+        size = np.where(last, self.ends[nodes], self.pops[nodes])
+        # one list after the other, so that both are read by one index
+        begin = np.where(last, self.ended[0][nodes] + len(self.popped[1]), self.popped[0][nodes])
+        flat = np.concatenate([self.popped[1], self.ended[1]])
+        return flat[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)], np.concatenate([[0], np.cumsum(count)])
+
+    def encode_texts(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin."""
+        ids, sizes = [np.zeros(0, np.int32)], []
+        for _, raw, offsets in textkernel.slices(column, lower=False):
+            starts, ends, doc = units(raw, offsets)
+            if not len(starts):
+                sizes.append(np.zeros(len(offsets) - 1, np.int64))
+                continue
+            keys = textkernel.span_hash(textkernel.prefix_hash(raw), starts, ends)
+            _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+            flat, at = self.pieces(raw, starts[first], ends[first])
+            size = np.diff(at)[which]
+            ids.append(flat[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[which], size)])
+            sizes.append(np.bincount(doc, size, len(offsets) - 1).astype(np.int64))
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+
     def count_texts(self, column) -> np.ndarray:
         """Token count of every text; 0 for a null one."""
         out = np.zeros(len(column), np.int64)
