@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lynceus.llm import decontaminate, language, licenses, ogg, packing, quality, simhash, tokens, toxicity
+from lynceus.llm import decontaminate, language, licenses, ogg, packing, quality, rangecoder, simhash, tokens, toxicity
 from lynceus.llm.frames import read
 
 
@@ -38,6 +38,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document, in coded blocks."""
+    return rangecoder.write(read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token count of every document."""
     return tokens.counts(read(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op5_licenses": op5_licenses,
+    "op6_token_blocks": op6_token_blocks,
     "op7_token_counts": op7_token_counts,
     "op8_ogg_media": op8_ogg_media,
     "op9_packing": op9_packing,
