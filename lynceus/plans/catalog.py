@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lynceus.plans import relational
+from lynceus.plans.common import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "relational"]
 
-FLAGSHIP = "met_region_nations"
-
-
-def met_region_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return nations.groupBy("n_regionkey").agg(F.count("*").alias("nations"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"met_region_nations": met_region_nations}
-
-ORACLE_SQL: dict[str, str] = {"met_region_nations": "SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY n_regionkey"}
+FLAGSHIP = "dgs_top_tiered"
