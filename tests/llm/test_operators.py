@@ -1,0 +1,597 @@
+"""Each operator against brute force or a round trip, and on odd tables."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lynceus.llm import decontaminate, frames, language, licenses, ogg, packing, quality, queries, rangecoder, simhash, textkernel, tokens, toxicity
+
+BENCH = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"), (2, "short item"), (3, None), (4, ""), (2, "short item")]
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    return spark.createDataFrame(BENCH, "item_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return frames.read(spark, sf_dir, "documents")
+
+
+@pytest.fixture(scope="module")
+def labels(spark, sf_dir):
+    return frames.read(spark, sf_dir, "labels")
+
+
+@pytest.fixture(scope="module")
+def automaton():
+    return tokens.Automaton.of(tokens.read_vocabulary())
+
+
+# -- kernels --------------------------------------------------------------------------------------
+
+
+def test_words_are_those_of_a_regular_expression():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aZ9 .,é中\n-") for _ in range(rng.randrange(40))) for _ in range(500)] + ["", None, "a" * 3000]
+    for row, raw, offsets in textkernel.slices(pa.array(texts), size=200):
+        starts, ends, hashes, first = textkernel.words(raw, offsets)
+        for k in range(len(offsets) - 1):
+            want = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (texts[row + k] or "").lower().encode())
+            have = [raw[a:b].tobytes() for a, b in zip(starts[first[k] : first[k + 1]], ends[first[k] : first[k + 1]])]
+            assert have == want
+            assert hashes[first[k] : first[k + 1]].tolist() == textkernel.hash_words([w.decode("utf-8", "surrogateescape") for w in want]).tolist() if all(_whole(w) for w in want) else True
+
+
+def _whole(word: bytes) -> bool:
+    try:
+        word.decode()
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
+def test_sliced_and_wide_arrays_read_alike():
+    texts = pa.array(["skip", "one two", None, "three"])
+    narrow = [raw.tobytes() for _, raw, _ in textkernel.slices(texts.slice(1))]
+    wide = [raw.tobytes() for _, raw, _ in textkernel.slices(texts.cast(pa.large_string()).slice(1))]
+    assert narrow == wide == [b"one twothree"]
+
+
+# -- 1 toxicity -----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "text,score",
+    [
+        ("You are an idiot.", 1.5),
+        ("You are not an idiot.", 0.0),
+        ("He said you are an idiot", 0.2),
+        ("I will kill you", 2.0),
+        ("I will not kill you", 0.0),
+        ("We kill the process", 0.0),
+        ("take out the trash", 0.5),
+        ("a worthless thing", 1.0),
+        ("idiot! moron!", 2.0),
+        ("idiots like you", 1.5),
+        ("Not here. An idiot", 1.0),
+        ("", 0.0),
+        (None, 0.0),
+    ],
+)
+def test_grammar(text, score):
+    assert toxicity.Scorer().scores(pa.array([text], pa.string()))[0][0] == pytest.approx(score)
+
+
+def test_composition_equals_running_the_parts_in_turn():
+    rng = random.Random(3)
+    grammar = toxicity.Grammar()
+    for _ in range(2000):
+        clause = [rng.randrange(9) for _ in range(rng.randrange(1, 12))]
+        states, total = [p.start for p in toxicity.PARTS], 0.0
+        for symbol in clause:
+            for k, part in enumerate(toxicity.PARTS):
+                states[k], symbol, weight = part.step(states[k], symbol)
+                total += weight
+        assert grammar.score(bytes(clause)) == pytest.approx(total)
+
+
+def test_toxic_documents_are_caught_and_clean_ones_left_alone(spark, docs, labels):
+    found = {r.doc_id for r in toxicity.scores(docs, toxicity.learn(docs, labels), only_toxic=True).collect()}
+    truth = {r.doc_id: r.toxic for r in labels.join(docs, "doc_id").where("lang = 'en'").select("doc_id", "toxic").collect()}
+    insult = {r.doc_id for r in docs.where("text rlike '(?i)\\\\b(idiot|moron|loser|pathetic|scum)\\\\b'").select("doc_id").collect()}
+    toxic, clean = {d for d, t in truth.items() if t and d in insult}, {d for d, t in truth.items() if not t}
+    assert len(toxic) >= 3 and len(toxic & found) >= 0.9 * len(toxic)
+    assert not clean & found
+
+
+def test_words_are_learned_from_contexts_and_not_from_copies(spark):
+    rows = [(k, f"a{k} grumph b{k} and then c{k}", 1) for k in range(20)] + [(100 + k, "copies say blorp again and again", 1) for k in range(30)] + [(200 + k, f"clean words and d{k} then", 0) for k in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learned = toxicity.learn(frame, frame)
+    known = set(learned)
+    assert int(textkernel.hash_words(["grumph"])[0]) in known
+    assert int(textkernel.hash_words(["blorp"])[0]) not in known and int(textkernel.hash_words(["and"])[0]) not in known
+
+
+# -- 2 language -----------------------------------------------------------------------------------
+
+
+def test_bundle_is_the_sum_of_bound_trigrams():
+    space, text = language.Space(64), "abc ab, é"
+    symbols = [0, 1, 2, 3, 0, 1, 2, 0, 27 + ord("é") % 37, 0]
+    want = np.zeros(64)
+    for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+        if b:
+            want += np.roll(space.letters[a], 2) * np.roll(space.letters[b], 1) * space.letters[c]
+    assert (space.bundle(pa.array([text]))[0] == want).all()
+
+
+def test_languages_of_held_out_documents(spark, docs):
+    profiles = language.train(docs.where("doc_id % 2 = 0"))
+    rows = language.identify(docs.where("doc_id % 2 = 1 and n_chars > 200"), profiles).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.language == r.lang for r in rows) >= 0.95 * len(rows)
+    assert sum(r.accepted for r in rows) >= 0.95 * len(rows)
+
+
+def test_texts_without_a_language_are_rejected(spark, odd, docs):
+    rows = {(r.doc_id, r.language is None): r.accepted for r in language.identify(odd, language.train(docs)).collect()}
+    assert rows[(2, True)] is rows[(3, True)] is rows[(5, True)] is False
+    assert not any(r.accepted for r in language.identify(odd, language.train(odd.limit(0))).collect())
+
+
+# -- 3 decontamination ----------------------------------------------------------------------------
+
+
+def test_search_finds_what_find_finds():
+    rng = random.Random(1)
+    for _ in range(60):
+        alphabet = "ab " if rng.random() < 0.5 else "abcdefgh "
+        patterns = list({"".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 30))).encode() for _ in range(rng.randrange(1, 40))})
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 2000))).encode() + patterns[0]
+        begin, which = decontaminate.WuManber(patterns).search(np.frombuffer(text, np.uint8))
+        want = {(i, k) for k, p in enumerate(patterns) for i in range(len(text)) if text.startswith(p, i)}
+        assert set(zip(begin.tolist(), which.tolist())) == want and len(begin) == len(want)
+
+
+def test_passes_don_t_change_what_is_found():
+    items = [(k, f"{k} quick brown foxes jump over {k} lazy dogs while {k + 1} cats sleep on the warm roof") for k in range(50)]
+    texts = pa.array([t for _, t in items] + ["nothing of this"])
+    assert list(decontaminate.Detector(items).scan(texts)) == list(decontaminate.Detector(items, per_pass=7).scan(texts))
+
+
+def test_part_of_an_item_is_a_match_and_less_is_not(spark, bench):
+    words = BENCH[0][1].split()
+    rows = [(1, "x " + " ".join(words[2:15]) + " y"), (2, " ".join(words[:12])), (3, "One, TWO; three\nfour five six seven eight nine ten eleven twelve thirteen!"), (4, "a short item here"), (5, "a shorter item"), (6, None)]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert found == {(1, 1), (3, 1), (4, 2)}
+    kept = {r.doc_id for r in decontaminate.remove(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert kept == {2, 5, 6}
+
+
+# -- 4 quality ------------------------------------------------------------------------------------
+
+
+def test_flat_forest_walks_like_nested_trees():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 5)).astype(np.float32)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] > 0)).astype(float)
+    forest = quality.fit(x, y, trees=20, depth=3)
+
+    def walk(row):
+        total = forest.prior
+        for t in range(len(forest.feature)):
+            node = 0
+            while node < forest.feature.shape[1]:
+                node = 2 * node + 1 + (row[forest.feature[t, node]] > forest.threshold[t, node])
+            total += forest.value[t, node - forest.feature.shape[1]]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.predict(x, block=64), [walk(r) for r in x])
+    assert ((forest.predict(x) > 0.5) == y).mean() > 0.95
+
+
+def test_features_by_plain_counting():
+    text = "One two two\nTWO! 33 #\nOne two two"
+    names = dict(zip(quality.FEATURES, quality.features(pa.array(["pad", text, None]))[1]))
+    words = re.findall(r"[0-9A-Za-z]+", text)
+    assert names["log_words"] == pytest.approx(np.log1p(len(words)))
+    assert names["distinct_words"] == pytest.approx(len(set(words)) / len(words))
+    assert names["adjacent_repeats"] == pytest.approx(2 / len(words))
+    assert names["commonest_word"] == pytest.approx(4 / len(words))
+    assert names["repeated_lines"] == pytest.approx(1 / 3)
+    assert names["upper"] == pytest.approx(5 / len(text)) and names["digits"] == pytest.approx(2 / len(text))
+
+
+def test_held_out_accuracy(spark, sf_dir, labels):
+    docs = frames.read(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")
+    marks = frames.read(spark, sf_dir.replace("sf0.001", "sf0.01"), "labels")
+    model = quality.train(docs, marks.where("doc_id % 3 <> 0"))
+    rows = quality.scores(docs, model).join(marks.where("doc_id % 3 = 0"), "doc_id").collect()
+    assert sum(r.accepted == (r.quality == 1) for r in rows) >= 0.93 * len(rows)
+
+
+def test_one_class_or_no_labels(spark, odd, docs):
+    for marks, want in (([], True), ([(1, 1)], True), ([(1, 0)], False), ([(1, None), (None, 1)], True)):
+        model = quality.train(odd, spark.createDataFrame(marks, "doc_id long, quality int"))
+        assert {r.accepted for r in quality.scores(odd, model).collect()} == {want}
+
+
+# -- 5 licenses -----------------------------------------------------------------------------------
+
+
+def test_equal_texts_are_found_however_they_are_written(spark):
+    mit = dict((n, t) for n, t in licenses.KNOWN if len(t) > 500 and n == "MIT")["MIT"].split("\n", 1)[1]
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + mit.upper()),
+        (2, "/* " + mit.replace(". ", ".\n * ").replace("sublicense", "sub-licence") + " */"),
+        (3, mit + " And more."),
+        (4, "Some text.\nReleased under the MIT Licence.\nMore text."),
+        (5, "I like the MIT License."),
+        (6, None),
+        (7, "All rights reserved."),
+    ]
+    found = {(r.doc_id, r.scope, r.license_id) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, "document", "MIT"), (2, "document", "MIT"), (4, "line", "MIT")} <= found
+    assert not {x[0] for x in found} & {3, 5, 6}
+
+
+def test_large_license_table_is_joined_by_a_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 1)
+    assert {r.license_id for r in licenses.scan(rows).collect()} == {"MIT"}
+
+
+# -- 6 range coder --------------------------------------------------------------------------------
+
+
+def test_round_trip_of_blocks():
+    rng = np.random.default_rng(0)
+    blocks = [rng.integers(0, 65536, n) for n in (0, 1, 2, 5, 100, 700)] + [np.zeros(900, int), np.full(600, 65535), np.tile(rng.integers(0, 50000, 50), 20), rng.zipf(1.3, 800) % 50000, *[np.array([k]) for k in (0, 1, 255, 65535)]]
+    coded = rangecoder.encode(blocks)
+    for block, back in zip(blocks, rangecoder.decode(coded)):
+        assert (block == back).all() and len(block) == len(back)
+    assert rangecoder.encode([blocks[5]]) == [coded[5]]  # a block doesn't depend on its neighbours
+    assert len(coded[8]) < 0.3 * 2 * len(blocks[8])  # repetition is learned
+
+
+def test_damaged_blocks_are_noticed():
+    coded = rangecoder.encode([np.arange(500)])[0]
+    for broken in (coded[:-3], coded[:60] + bytes([coded[60] ^ 4]) + coded[61:], b"no" + coded[2:]):
+        with pytest.raises(rangecoder.CorruptBlock):
+            rangecoder.decode([broken])
+    with pytest.raises(ValueError):
+        rangecoder.encode([np.array([70_000])])
+
+
+def test_documents_come_back_from_their_blocks(spark, odd, docs, automaton):
+    for table in (odd, docs.repartition(3)):
+        rows = rangecoder.write(table).collect()
+        ids = rangecoder.decode([bytes(r.block) for r in rows])
+        parts: dict = {}
+        for row, block in zip(rows, ids):
+            at = 0
+            for doc, n in zip(row.doc_ids, row.doc_tokens):
+                parts.setdefault(doc, []).append(block[at : at + n])
+                at += n
+            assert at == row.n_tokens == len(block)
+        vocabulary = tokens.read_vocabulary()
+        vocabulary += [bytes([b]) for b in range(256)]
+        texts = frames.pick(table, doc_id="doc_id", text="text")
+        want = Counter()
+        for r in texts.collect():
+            want[r.doc_id] += len((r.text or "").encode())
+        assert {d: sum(len(vocabulary[i]) for p in ps for i in p.tolist()) for d, ps in parts.items()} == dict(want)
+
+
+def test_columns_of_ids(spark):
+    rows = spark.createDataFrame([(1, [5, 6, 7]), (2, None), (3, []), (4, [9] * 9000)], "doc_id long, ids array<int>").coalesce(1)
+    found = rangecoder.write_ids(rows).collect()
+    assert [r.n_tokens for r in found] == [4096, 4096, 811]
+    assert np.concatenate(rangecoder.decode([bytes(r.block) for r in found])).tolist() == [5, 6, 7] + [9] * 9000
+    assert [list(zip(r.doc_ids, r.doc_tokens)) for r in found][0] == [(1, 3), (2, 0), (3, 0), (4, 4093)]
+
+
+# -- 7 tokens -------------------------------------------------------------------------------------
+
+_UNITS = re.compile(rb" ?[0-9A-Za-z\x80-\xff]+| ?[^ \t\n\r\x0b\x0c0-9A-Za-z\x80-\xff]+|[ \t\n\r\x0b\x0c]+(?= [^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
+
+
+def _greedy(text: str, entries: set[bytes], longest: int) -> list[bytes]:
+    out = []
+    for unit in _UNITS.findall(text.encode()):
+        at = 0
+        while at < len(unit):
+            size = next(n for n in range(min(longest, len(unit) - at), 0, -1) if n == 1 or unit[at : at + n] in entries)
+            out.append(unit[at : at + size])
+            at += size
+    return out
+
+
+def test_counts_and_pieces_are_those_of_greedy_matching(automaton):
+    vocabulary = tokens.read_vocabulary()
+    entries, longest = set(vocabulary), max(map(len, vocabulary))
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "the", "ing", " ", "  ", "\n", ".", ",", "é", "中", "x1", "tion"]) for _ in range(rng.randrange(40))) for _ in range(1500)] + ["", "x" * 4000, "the" * 2000]
+    want = [_greedy(t, entries, longest) for t in texts]
+    assert automaton.count_texts(pa.array(texts)).tolist() == [len(w) for w in want]
+    ids, at = automaton.encode_texts(pa.array(texts))
+    assert [[vocabulary[i] for i in ids[at[k] : at[k + 1]].tolist()] for k in range(len(texts))] == want
+
+
+def test_small_vocabularies_fall_back_to_bytes():
+    a = tokens.Automaton.of([b"ab", b"abcd", b"bc"])
+    assert a.count_texts(pa.array(["abc", "abcd", "abcab", "zz", None])).tolist() == [2, 1, 3, 2, 0]
+
+
+# -- 8 ogg ----------------------------------------------------------------------------------------
+
+
+def _slow_crc(data: bytes) -> int:
+    c = 0
+    for byte in data:
+        c ^= byte << 24
+        for _ in range(8):
+            c = ((c << 1) ^ 0x04C11DB7) & 0xFFFFFFFF if c >> 31 else (c << 1) & 0xFFFFFFFF
+    return c
+
+
+def test_checksum_bit_by_bit():
+    rng = random.Random(0)
+    for n in (0, 1, 5, 300):
+        data = rng.randbytes(n)
+        assert ogg.checksum(data) == _slow_crc(data)
+
+
+@pytest.mark.parametrize("n", [0, 1, 254, 255, 256, 400, 655, 5000, 70_000, 200_000])
+def test_media_round_trip(n):
+    data = random.Random(n).randbytes(n)
+    assert ogg.unwrap(ogg.mux(data)) == data
+
+
+def test_a_damaged_page_costs_its_own_packets_only():
+    payload = random.Random(1).randbytes(40_000)
+    good = ogg.mux(payload)
+    whole, _ = ogg.demultiplex(good)
+    broken = bytearray(good)
+    broken[20_000] ^= 1
+    found, skipped = ogg.demultiplex(bytes(broken))
+    assert skipped > 0 and sum(s.lost_pages for s in found) == 1
+    for a, b in zip(whole, found):
+        kept = Counter(b.packets)
+        assert not kept - Counter(a.packets) and len(b.packets) >= len(a.packets) - 30
+    found, skipped = ogg.demultiplex(b"junk" + good + b"Ogg")
+    assert skipped == 7 and [s.packets for s in found] == [s.packets for s in whole]
+
+
+def test_times_come_from_granules():
+    opus, vorbis = ogg.describe(ogg.mux(bytes(3000)))
+    assert (opus[1], opus[3], vorbis[1], vorbis[3]) == ("opus", 48000, "vorbis", 44100)
+    packets = opus[6]
+    assert opus[11] == pytest.approx(packets * 960 / 48000)
+    assert vorbis[11] == pytest.approx(vorbis[6] * 1024 / 44100)
+
+
+def test_values_that_hold_no_media(spark):
+    rows = spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(b"not media"))], "doc_id long, media binary")
+    assert sorted((r.doc_id, r.serial, r.skipped_bytes) for r in ogg.streams(rows).collect()) == [(2, None, 0), (3, None, 9)]
+
+
+# -- 9 packing ------------------------------------------------------------------------------------
+
+
+def _fewest(items: list[int], capacity: int) -> int:
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] + items[i] <= capacity and bins[b] not in bins[:b]:
+                bins[b] += items[i]
+                go(i + 1, bins)
+                bins[b] -= items[i]
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_fixed_sets_never_cost_a_bin():
+    rng = random.Random(1)
+    fixed_bins = 0
+    for _ in range(700):
+        capacity = rng.choice([10, 20, 30, 50])
+        low = rng.choice([1, capacity // 6 + 1, capacity // 5 + 1, capacity // 4])
+        items = [rng.randrange(low, capacity + 1 if rng.random() < 0.7 else max(low + 1, capacity // 2)) for _ in range(rng.randrange(1, 10))]
+        reduction = packing.Reduction(Counter(items), capacity)
+        fixed = reduction.run()
+        rest = [int(k) for k in np.flatnonzero(reduction.count) for _ in range(int(reduction.count[k]))]
+        bins = sum(n for n, _ in fixed)
+        fixed_bins += bins
+        assert bins + _fewest(rest, capacity) == _fewest(items, capacity)
+        total = Counter()
+        for times, inside in packing.solve(Counter(items), capacity):
+            assert sum(a * b for a, b in inside) <= capacity
+            for a, b in inside:
+                total[a] += times * b
+        assert total == Counter(items)
+    assert fixed_bins > 1000
+
+
+def _check_packing(rows, capacity, lengths):
+    used: dict = {}
+    for r in rows:
+        if r.n_tokens:
+            used.setdefault(r.bin_id, []).append((r.bin_offset, r.bin_offset + r.n_tokens))
+        else:
+            assert r.bin_id is None
+    for spans in used.values():
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] <= capacity
+        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    total = Counter()
+    for r in rows:
+        total[r.doc_id] += r.n_tokens
+    assert total == lengths
+    return len(used)
+
+
+def test_every_piece_has_a_place_of_its_own(spark, docs):
+    lengths = tokens.counts(docs)
+    for capacity in (64, 2048):
+        rows = packing.pack_lengths(lengths, capacity).collect()
+        want = Counter()
+        for r in lengths.collect():
+            want[r.doc_id] += r.n_tokens or 0
+        bins = _check_packing(rows, capacity, want)
+        assert bins <= 1.05 * sum(want.values()) / capacity + 1
+
+
+def test_packing_of_repeats_nulls_and_nothing(spark, odd, none):
+    rows = packing.pack(odd).collect()
+    want = Counter()
+    for r in tokens.counts(odd).collect():
+        want[r.doc_id] += r.n_tokens or 0
+    _check_packing(rows, packing.CAPACITY, want)
+    assert packing.pack(none).collect() == []
+
+
+# -- 10 near copies -------------------------------------------------------------------------------
+
+
+def test_trees_find_the_pairs_of_brute_force():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**64, (150, 2), dtype=np.uint64)
+    near = base[rng.integers(0, 150, 450)].copy()
+    for _ in range(12):
+        near[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 450).astype(np.uint64)
+    prints = np.concatenate([base, near])
+    shard = np.sort(rng.integers(0, 5, 600))
+    for radius in (0, 3, 12, 22):
+        found = {(int(a), int(b)) for u, v in simhash.Forest(shard, prints).pairs(radius, block=128) for a, b in zip(u, v)}
+        want = {(i, j) for i in range(600) for j in range(i) if shard[i] == shard[j] and int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= radius}
+        assert found == want
+
+
+def test_components_by_pointer_jumping():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 300, 250), rng.integers(0, 300, 250)
+    label = simhash.components(300, a, b)
+    parent = list(range(300))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    assert label.tolist() == [root(x) for x in range(300)]
+
+
+def test_connected_tables(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (5, 5)], "a long, b long")
+    found = {r.node: r.root for r in simhash.connected(edges).collect()}
+    assert found == {**{k: 0 for k in range(1, 41)}, 101: 100, 102: 100}
+
+
+def test_recall_against_brute_force(spark, sf_dir):
+    docs = frames.read(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")
+    rows = simhash.groups(docs, shard_rows=8).collect()  # small shards: many tables
+    prints = np.array([[r.fp0, r.fp1] for r in rows if r.fp0 is not None], np.int64).view(np.uint64)
+    group = np.array([r.group_id for r in rows if r.fp0 is not None])
+    apart = simhash.distance(np.repeat(prints, len(prints), axis=0), np.tile(prints, (len(prints), 1))).reshape(len(prints), -1)
+    a, b = np.nonzero(np.triu(apart <= simhash.RADIUS, 1))
+    assert len(a) > 50 and (group[a] == group[b]).mean() >= 0.9
+
+
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(0)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [[word() for _ in range(120)] for _ in range(12)]
+    rows, families = [], {}
+    for k, words in enumerate(base):
+        for copy in range(4):
+            changed = list(words)
+            for _ in range(copy):
+                changed[rng.randrange(120)] = word()
+            rows.append((k * 10 + copy, " ".join(changed), "en"))
+            families[k * 10 + copy] = k * 10
+    frame = spark.createDataFrame(rows + [(500, None, "en"), (501, None, "en"), (None, rows[0][1], "en"), (0, rows[0][1], "en")], "doc_id long, text string, group_id string")
+    found = {r.doc_id: r.group_id for r in simhash.groups(frame).where("doc_id < 500").collect()}
+    assert found == families
+    kept = simhash.deduplicate(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, k * 10) for k in range(12)] + [(False, 500), (False, 501), (True, 0)])
+
+
+# -- odd tables -----------------------------------------------------------------------------------
+
+
+def _everything(table, docs, labels, bench):
+    return {
+        "toxicity": toxicity.scores(table, toxicity.learn(table, labels)),
+        "language": language.identify(table, language.train(docs)),
+        "language filter": language.accepted(table, language.train(docs)),
+        "decontamination": decontaminate.matches(table, bench),
+        "decontamination filter": decontaminate.remove(table, bench),
+        "quality": quality.scores(table, quality.train(docs, labels)),
+        "quality filter": quality.accepted(table, quality.train(docs, labels)),
+        "licenses": licenses.scan(table),
+        "blocks": rangecoder.write(table),
+        "tokens": tokens.counts(table),
+        "media": ogg.streams(ogg.wrap(table)),
+        "packing": packing.pack(table),
+        "groups": simhash.groups(table),
+        "groups filter": simhash.deduplicate(table),
+    }
+
+
+def test_odd_rows(odd, docs, labels, bench):
+    n = odd.count()
+    for name, found in _everything(odd, docs, labels, bench).items():
+        rows = found.collect()
+        if name in ("toxicity", "language", "quality", "tokens", "groups"):
+            assert len(rows) == n, name
+        if name.endswith("filter"):
+            assert found.columns == odd.columns and 0 < len(rows) <= n, name
+
+
+def test_empty_tables(none, docs, labels, bench):
+    for name, found in _everything(none, docs, labels, bench).items():
+        assert found.collect() == [], name
+
+
+def test_missing_column_is_named(odd):
+    with pytest.raises(ValueError, match="nope"):
+        frames.pick(odd, x="nope")
+
+
+def test_checkpoints_go_to_the_shared_folder(spark):
+    frames.ensure_checkpoints(spark)
+    assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_against_sql(name, spark, sf_dir, duck, same):
+    same(queries.QUERIES[name](spark, sf_dir).toPandas(), duck.execute(queries.ORACLE_SQL[name]).df())
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_cover_the_whole_table(name, spark, sf_dir):
+    rows = queries.QUERIES[name](spark, sf_dir).collect()
+    assert rows
+    if name in ("op2_language", "op4_quality", "op7_token_counts", "op10_simhash_dedup"):
+        assert len(rows) == frames.read(spark, sf_dir, "documents").count()
