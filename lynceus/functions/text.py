@@ -95,7 +95,7 @@ def document_type(title: Column, kind: Column, co_authors: Column, body: Column)
 def co_authors(body: Column) -> Column:
     """Organisations of the "co-authored by" passage."""
     passage = F.regexp_extract(body, r"(?is)co[-\s]?authored\s+by[:\s]+(.+?)(?:\n\n|\.\s|\z)", 1)
-    parts = F.transform(F.split(passage, r"[,;\n]|\band\b"), F.trim)
+    parts = F.transform(F.split(passage, r"[,;\n]|\band\b"), lambda p: F.trim(p))
     return F.filter(parts, lambda p: (p != "") & (F.length(p) < 120))
 
 

@@ -249,7 +249,7 @@ def weakness_counts(catalog: DataFrame) -> DataFrame:
 def description_text(value: Column) -> Column:
     """A description that is a JSON string or an object: the text under its usual keys, else any text in it, else the JSON."""
     v = F.try_parse_json(value)
-    keys = [F.try_variant_get(v, f"$.{k}", "string") for k in ("['#text']", "text", "content", "value")]
+    keys = [F.try_variant_get(v, path, "string") for path in ("$['#text']", "$.text", "$.content", "$.value")]
     entries = F.try_variant_get(v, "$", "map<string,string>")
     any_text = F.get(F.filter(F.map_values(entries), lambda x: F.trim(x) != ""), 0)
     is_object = F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
