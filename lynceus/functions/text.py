@@ -34,8 +34,13 @@ def tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     rest = text
     for p in ATOMS:
         rest = F.regexp_replace(rest, p, " ")
-    words = F.filter(F.transform(all_matches(rest, WORD), F.lower), lambda w: ~w.isin(*stopwords))
-    return F.coalesce(F.concat(*found, words), F.array().cast("array<string>"))
+
+    def words(of: Column) -> Column:
+        return F.filter(F.transform(all_matches(of, WORD), F.lower), lambda w: ~w.isin(*stopwords))
+
+    # most texts hold no identifier, and one scan tells
+    some = text.rlike("|".join(f"(?:{p})" for p in ATOMS))
+    return F.coalesce(F.when(some, F.concat(*found, words(rest))).otherwise(words(text)), F.array().cast("array<string>"))
 
 
 def _distinct_sorted(values: Column) -> Column:
@@ -69,7 +74,11 @@ def window_count(n: Column, most: int, overlap: int) -> Column:
 
 
 def windows(token_array: Column, most: int, overlap: int) -> Column:
-    """``array<struct<idx, tokens>>`` of windows of ``most`` tokens of which neighbours share ``overlap``."""
+    """``array<struct<idx, tokens>>`` of windows of ``most`` tokens of which neighbours share ``overlap``.
+
+    Give a column that holds the tokens, not the expression that makes them:
+    the latter would be computed again for every window.
+    """
     if not 0 <= overlap < most:
         raise ValueError("the overlap must be less than the window")
     count = window_count(F.size(token_array), most, overlap)

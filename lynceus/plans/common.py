@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt to all cores if it has fewer partitions than there are cores.
+
+    A small table in one file is one task otherwise. A large one has more
+    partitions than cores and is left as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def names(sql: str) -> list[str]:
     return sorted({field for _, field, _, _ in string.Formatter().parse(sql) if field})
 
@@ -26,6 +36,11 @@ def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names(sql)})
 
 
+def rows_spread(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The same, with every table dealt to all cores."""
+    return spark.sql(sql, **{n: spread(table(spark, sf_dir, n)) for n in names(sql)})
+
+
 def plain(sql: str) -> str:
     """The same source for the other engine."""
     return sql.format(**{n: n for n in names(sql)})

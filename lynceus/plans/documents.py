@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from lynceus import schemas
 from lynceus.functions import text as T
 from lynceus.operators import evaluate, filters, graph, normalize, search, sections, triplets
-from lynceus.plans.common import CVES, EDGES, NODES, TRIPLETS, query, rows, table
+from lynceus.plans.common import CVES, EDGES, NODES, TRIPLETS, query, rows, rows_spread, spread, table
 
 # -- projections ----------------------------------------------------------------------------------
 
@@ -30,7 +30,7 @@ _SCORE = "CAST(o_orderkey % 101 AS DOUBLE) / 10"
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed lines, made of orders, as they would be read from landed files."""
-    return rows(spark, sf_dir, _RAW).select("o_orderkey", F.from_json("line", schemas.NVD).alias("j")).select("j.cve")
+    return rows_spread(spark, sf_dir, _RAW).select("o_orderkey", F.from_json("line", schemas.NVD).alias("j")).select("j.cve")
 
 
 @query(f"""
@@ -169,7 +169,7 @@ _WITH_IDS = "SELECT doc_id, concat(text, ' see CVE-2021-', CAST(10000 + doc_id A
 
 @query("SELECT doc_id, array_to_string(" + _tokens_sql("text").replace("$", "$$") + ", ' ') AS tokens FROM $d", d=_WITH_IDS)
 def txt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir, _WITH_IDS).select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+    return rows_spread(spark, sf_dir, _WITH_IDS).select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
 _BM25 = f"""
@@ -183,7 +183,7 @@ lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM lex WHERE rank <= 10".replace("$", "$$"))
 def txt_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.build(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = search.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
     return search.bm25(index, table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), 10).withColumn("score", F.round("score", 6))
 
 
@@ -224,7 +224,7 @@ _NEAR50 = _near_sql(40, 50, "TRUE")
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, labels: tuple[int, ...] = (), alpha: float = 0.4, top_k: int = 10) -> DataFrame:
-    index = search.build(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = search.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
     lexical = search.bm25(index, table(spark, sf_dir, "benchmark").where("item_id < 40").withColumnRenamed("item_id", "query_id"), 50)
     asked, pool = _vectors(spark, sf_dir, 40)
     allowed = pool.where(F.col("label").isin(*labels)) if labels else pool
@@ -262,7 +262,7 @@ def _sorted_ids(pattern: str, change: str) -> str:
 @query(f"SELECT doc_id, {_sorted_ids('(?i)CVE-[0-9]{4}-[0-9]{4,7}', 'upper(x)')} AS cve_ids, {_sorted_ids('(?i)CWE-[0-9]+', 'upper(x)')} AS cwe_ids, {_sorted_ids(r'\bT[0-9]{4}(?:\.[0-9]{3})?\b', 'x')} AS technique_ids FROM $d", d=_WITH_IDS)
 def doc_ids_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return rows(spark, sf_dir, _WITH_IDS).select("doc_id", F.array_join(T.vulnerability_ids(t), ",").alias("cve_ids"), F.array_join(T.weakness_ids(t), ",").alias("cwe_ids"), F.array_join(T.technique_ids(t), ",").alias("technique_ids"))
+    return rows_spread(spark, sf_dir, _WITH_IDS).select("doc_id", F.array_join(T.vulnerability_ids(t), ",").alias("cve_ids"), F.array_join(T.weakness_ids(t), ",").alias("cwe_ids"), F.array_join(T.technique_ids(t), ",").alias("technique_ids"))
 
 
 @query("SELECT doc_id, sha256(trim(text)) AS content_hash FROM documents")
@@ -275,18 +275,19 @@ _PIECES = r"regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_\s]')"
 
 @query(f"WITH t AS (SELECT doc_id, {_PIECES} AS t FROM documents), w AS (SELECT doc_id, t, unnest(range(0, CASE WHEN len(t) <= 100 THEN 1 ELSE CAST(ceil((len(t) - 15) / 85.0) AS BIGINT) END)) AS i FROM t) SELECT doc_id, CAST(i AS INTEGER) AS idx, CAST(len(t[i * 85 + 1 : i * 85 + 100]) AS INTEGER) AS token_count, sha256(array_to_string(t[i * 85 + 1 : i * 85 + 100], ' ')) AS h FROM w")
 def doc_window_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.windows(T.split_tokens(F.col("text")), 100, 15)).alias("w"))
+    words = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.split_tokens(F.col("text")).alias("t"))
+    cut = words.select("doc_id", F.explode_outer(T.windows(F.col("t"), 100, 15)).alias("w"))
     return cut.select("doc_id", "w.idx", F.size("w.tokens").alias("token_count"), F.sha2(F.array_join("w.tokens", " "), 256).alias("h"))
 
 
 @query()
 def doc_html_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.chunks(table(spark, sf_dir, "pages"), id_col="page_id", type_col=None)
+    return sections.chunks(spread(table(spark, sf_dir, "pages")), id_col="page_id", type_col=None)
 
 
 @query()
 def doc_html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.split(table(spark, sf_dir, "pages"), id_col="page_id", type_col=None)
+    return sections.split(spread(table(spark, sf_dir, "pages")), id_col="page_id", type_col=None)
 
 
 # -- graph ----------------------------------------------------------------------------------------
