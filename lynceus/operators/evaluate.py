@@ -91,6 +91,8 @@ def extraction(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     kind = gold.schema["advisory_id"].dataType.simpleString()
 
     def triplets(frame: pd.DataFrame) -> list[tuple]:
+        if frame.empty:  # a side without rows may come without columns
+            return []
         return [tuple((x or "").strip().lower() for x in row) for row in frame.sort_values("ordinal")[["subject", "relation", "object"]].itertuples(index=False)]
 
     def run(key, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
