@@ -89,6 +89,9 @@ def extraction(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     matches it. The order matters, so this is Python on one advisory at a time.
     """
     kind = gold.schema["advisory_id"].dataType.simpleString()
+    wanted = ("advisory_id", "ordinal", "subject", "relation", "object")
+    # fresh columns on both sides, which may come from one table
+    gold, predicted = (side.select(*[F.concat(c, F.lit("")).alias(c) if kind_ == "string" else (F.col(c) + F.lit(0)).alias(c) for c, kind_ in ((c, side.schema[c].dataType.simpleString()) for c in wanted)]) for side in (gold, predicted))
 
     def triplets(frame: pd.DataFrame) -> list[tuple]:
         if frame.empty:  # a side without rows may come without columns
