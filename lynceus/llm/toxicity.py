@@ -21,7 +21,10 @@ reported, or two mild ones.
 The lexicon of strong insults is extended with words learned from labelled
 documents (a bounded sample, the ``SAMPLE`` labelled rows whose ids hash
 lowest): words that follow at least ``CONTEXTS`` different words in toxic
-documents and occur in no clean one. Copies of a text don't add contexts.
+documents, and of which the smoothed log-odds of being in a toxic document
+exceed those of being in a clean one by ``RATE``. Rates don't change with the
+number of labels, so a chance occurrence in a clean text costs no word. Copies
+of a text don't add contexts.
 
 Only clauses with an insult or a threat verb leave numpy; their symbol strings
 are scored once each and remembered.
@@ -34,6 +37,7 @@ rows. Extra columns: ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -47,6 +51,7 @@ from lynceus.llm import frames, textkernel
 THRESHOLD = 1.0
 SAMPLE = 20_000
 CONTEXTS = 8
+RATE = 4.0
 
 OTHER, INSULT, MILD, THREAT, YOU, THEY, INTENT, NEGATION, SAYING = range(9)
 AIMED, AIMED_MILD, QUOTED = 9, 10, 11
@@ -219,13 +224,15 @@ class Scorer:
         return total, clauses
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, contexts: int = CONTEXTS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[int]:
+def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, contexts: int = CONTEXTS, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[int]:
     """Hashes of the words that tell labelled toxic documents from clean ones."""
+    schema = pa.schema([("word", pa.int64()), ("before", pa.int64()), ("toxic", pa.bool_()), ("docs", pa.int64())])
     chosen = frames.pick(labels, id=id_col, y=label_col).where("id is not null and y is not null").orderBy(F.xxhash64("id"), "id", "y").limit(sample)
 
     def run(stream):
         for batch in frames.batches(stream):
             toxic = batch.column(1).to_numpy(zero_copy_only=False) > 0
+            yield pa.RecordBatch.from_pydict({"word": [None, None], "before": [None, None], "toxic": [False, True], "docs": [int((~toxic).sum()), int(toxic.sum())]}, schema=schema)
             for row, raw, offsets in textkernel.slices(batch.column(0)):
                 _, _, hashes, first = textkernel.words(raw, offsets)
                 doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
@@ -234,17 +241,34 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, contexts:
                 bad = toxic[row + doc]
                 if len(hashes):
                     _, at = np.unique(textkernel.mix(hashes) ^ before ^ bad, return_index=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(before[at].view(np.int64)), pa.array(bad[at])], names=["word", "before", "toxic"])
-
-    # the sample is bounded, so it may be broadcast
+                    # each word's documents are counted on one of its rows
+                    order = np.lexsort((doc, hashes))
+                    fresh = np.ones(len(order), bool)
+                    fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+                    kinds, which = np.unique(hashes[order][fresh], return_inverse=True)
+                    docs_of = np.stack([np.bincount(which, bad[order][fresh] == b, len(kinds)) for b in (False, True)])
+                    place, mark = np.searchsorted(kinds, hashes[at]), bad[at].astype(np.int64)
+                    _, once = np.unique(place * 2 + mark, return_index=True)
+                    n = np.zeros(len(at), np.int64)
+                    n[once] = docs_of[mark[once], place[once]]
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(before[at].view(np.int64)), pa.array(bad[at]), pa.array(n)], schema=schema)
+
+    # the sample is bounded, so it may be broadcast, and its words collected
     rows = frames.pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select("text", F.col("y").cast("int").alias("y"))
-    return [
-        r[0] & (2**64 - 1)
-        for r in rows.mapInArrow(run, "word long, before long, toxic boolean")
-        .groupBy("word", "before").agg(F.bool_or("toxic").alias("toxic"), F.bool_and("toxic").alias("only"))
-        .groupBy("word").agg(F.count_if("toxic").alias("contexts"), F.bool_and("only").alias("only"))
-        .where((F.col("contexts") >= contexts) & F.col("only")).select("word").orderBy("word").collect()
+    words = [
+        tuple(r)
+        for r in rows.mapInArrow(run, "word long, before long, toxic boolean, docs long")
+        .groupBy("word", "before").agg(F.bool_or("toxic").alias("toxic"), *(F.sum(F.when(F.col("toxic") == b, F.col("docs")).otherwise(0)).alias(n) for n, b in (("bad", True), ("fine", False))))
+        .groupBy("word").agg(F.count_if("toxic").alias("contexts"), F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
+        .where((F.col("contexts") >= contexts) | F.col("word").isNull()).select("word", "bad", "fine").orderBy("word").collect()
     ]
+    bad, fine = next((w[1:] for w in words if w[0] is None), (0, 0))
+    return [w & (2**64 - 1) for w, a, b in words if w is not None and _log_odds(a, bad) - _log_odds(b, fine) >= rate]
+
+
+def _log_odds(part: int, whole: int) -> float:
+    """Of being among ``part`` of ``whole`` documents, a quarter of a document added to either side."""
+    return math.log((part + 0.25) / (whole - part + 0.25))
 
 
 def scores(docs: DataFrame, learned: list[int] | None = None, *, threshold: float = THRESHOLD, only_toxic: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

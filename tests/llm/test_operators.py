@@ -121,6 +121,27 @@ def test_words_are_learned_from_contexts_and_not_from_copies(spark):
     assert int(textkernel.hash_words(["blorp"])[0]) not in known and int(textkernel.hash_words(["and"])[0]) not in known
 
 
+def test_a_chance_occurrence_in_a_clean_text_costs_no_word(spark):
+    for size in (1, 4):
+        rows = [(k, f"a{k} grumph b{k} then", 1) for k in range(30 * size)] + [(1000 + k, f"fine d{k} then", 0) for k in range(300 * size)] + [(3000 + k, f"odd e{k} grumph", 0) for k in range(size)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        assert toxicity.learn(frame, frame) == textkernel.hash_words(["grumph"]).tolist()
+
+
+def test_toxic_documents_of_every_language_are_caught(spark, sf_dir):
+    found = {}
+    for size in ("sf0.01", "sf0.1"):
+        docs, labels = (frames.read(spark, sf_dir.replace("sf0.001", size), t) for t in ("documents", "labels"))
+        rows = toxicity.scores(docs, toxicity.learn(docs, labels)).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("toxic is not null").collect()
+        for lang in ("en", "de", "fr", "es"):
+            for toxic in (1, 0):
+                own = [r.is_toxic for r in rows if r.lang == lang and r.toxic == toxic]
+                found[size, lang, toxic] = sum(own) / len(own)
+    assert found["sf0.01", "en", 1] >= 0.9  # 51 toxic documents are too few to learn foreign words from
+    assert min(found["sf0.1", x, 1] for x in ("en", "de", "fr")) >= 0.9 and found["sf0.1", "es", 1] >= 0.75
+    assert max(v for (_, _, toxic), v in found.items() if not toxic) <= 0.04
+
+
 # -- 2 language -----------------------------------------------------------------------------------
 
 
