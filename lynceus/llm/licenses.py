@@ -6,7 +6,9 @@ punctuation and white space reduced to single spaces. The SHA-256 digest of the
 whole canonical text is joined by hash with the digests of known licenses. The
 texts that are looked up are each document and each of its lines, so a
 document that consists of a license, and a line that is a license notice, are
-both found; a text that only mentions a license is not.
+both found; a text that only mentions a license is not. Lines that the canonical
+form drops are looked up in their plain form, so that such a line can be a known
+notice itself ("All rights reserved."); ``ORACLE_SQL`` doesn't do that.
 
 All of it is built-in expressions on the JVM. The known digests are a constant
 of this module (or a table given in its place) of which the size is checked:
@@ -113,6 +115,11 @@ def canonical(text: Column) -> Column:
     return squeeze(lines_of(text))
 
 
+def plain(text: Column) -> Column:
+    """The text in small letters and single spaces, with the lines that the canonical form drops."""
+    return squeeze(F.regexp_replace(F.lower(text), STEPS[-1][0], " "))
+
+
 def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """``license_id, digest`` of the known texts.
 
@@ -120,16 +127,25 @@ def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> Da
     form that it has without that step.
     """
     rows = spark.createDataFrame(list(texts), "license_id string, text string")
-    plain = squeeze(F.regexp_replace(F.lower("text"), STEPS[-1][0], " "))
     form = canonical(F.col("text"))
-    return rows.select("license_id", F.sha2(F.when(form == "", plain).otherwise(form), 256).alias("digest")).distinct()
+    return rows.select("license_id", F.sha2(F.when(form == "", plain(F.col("text"))).otherwise(form), 256).alias("digest")).distinct()
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, scope, license_id``: scope is ``document`` or ``line``."""
     licenses = known(docs.sparkSession) if licenses is None else frames.pick(licenses, license_id="license_id", digest="digest")
-    narrow = frames.pick(docs, doc_id=id_col, text=text_col).select("doc_id", lines_of(F.col("text")).alias("body"))
-    unit = F.explode(F.concat(F.array(F.struct(F.lit("document").alias("scope"), squeeze(F.col("body")).alias("unit"))), F.transform(F.split("body", "\n"), lambda x: F.struct(F.lit("line").alias("scope"), F.trim(x).alias("unit")))))
+    text = F.col("text")
+    # only lines that the canonical form drops have another plain form
+    names_holder = F.lower(text).rlike("copyright|©|\\(c\\)|all rights reserved")
+    dropped = F.when(names_holder, F.regexp_extract_all(F.lower(text), F.lit("|".join(p for p, _ in STEPS[:2])), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    narrow = frames.pick(docs, doc_id=id_col, text=text_col).select("doc_id", "text", lines_of(text).alias("body"), dropped.alias("dropped"))
+
+    def units_of(scope: str, unit: Column) -> Column:
+        return F.struct(F.lit(scope).alias("scope"), unit.alias("unit"))
+
+    blank = F.col("body").rlike(r"\A[ \n]*\z")
+    whole = F.array(units_of("document", squeeze(F.col("body"))), units_of("document", F.when(blank, plain(text)).otherwise("")))
+    unit = F.explode(F.concat(whole, F.transform(F.split("body", "\n"), lambda x: units_of("line", F.trim(x))), F.transform("dropped", lambda x: units_of("line", plain(x)))))
     units = narrow.where("body is not null").select("doc_id", unit.alias("u")).select("doc_id", "u.scope", "u.unit").where("unit <> ''")
     digests = units.select("doc_id", "scope", F.sha2("unit", 256).alias("digest"))
     small = licenses.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

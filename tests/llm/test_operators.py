@@ -264,6 +264,12 @@ def test_equal_texts_are_found_however_they_are_written(spark):
     assert not {x[0] for x in found} & {3, 5, 6}
 
 
+def test_dropped_lines_are_notices_too(spark):
+    rows = [(1, "All rights reserved."), (2, "Words.\n # ALL RIGHTS RESERVED\nMore words."), (3, "Copyright (c) 2020 Some Body\nAll rights reserved.\nWords."), (4, "Copyright (c) 2020 Some Body"), (5, "We have all rights reserved."), (6, "!!")]
+    found = {(r.doc_id, r.scope, r.license_id) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1, "document", "proprietary"), *((k, "line", "proprietary") for k in (1, 2, 3))}
+
+
 def test_large_license_table_is_joined_by_a_shuffle(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     monkeypatch.setattr(licenses, "BROADCAST_ROWS", 1)
