@@ -10,8 +10,8 @@ both found; a text that only mentions a license is not. Lines that the canonical
 form drops are looked up in their plain form, so that such a line can be a known
 notice itself ("All rights reserved."); ``ORACLE_SQL`` doesn't do that.
 
-All of it is built-in expressions on the JVM. The known digests are a constant
-of this module (or a table given in its place) of which the size is checked:
+All of it is built-in expressions on the JVM. The known digests are constants
+of this module and of ``licensetable`` (or a table given in its place) of which the size is checked:
 up to ``BROADCAST_ROWS`` it is broadcast, a larger one is joined by a shuffle of
 digests.
 
@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynceus.llm import frames
+from lynceus.llm import frames, licensetable
 
 BROADCAST_ROWS = 100_000
 
@@ -131,9 +131,15 @@ def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> Da
     return rows.select("license_id", F.sha2(F.when(form == "", plain(F.col("text"))).otherwise(form), 256).alias("digest")).distinct()
 
 
+def shipped(spark: SparkSession) -> DataFrame:
+    """``license_id, digest`` of all that this package knows: ``KNOWN`` and ``licensetable``."""
+    digests = spark.createDataFrame([(x, digest) for x, _, _, digest in licensetable.DIGESTS], "license_id string, digest string")
+    return known(spark, KNOWN + licensetable.NOTICES).union(digests).distinct()
+
+
 def scan(docs: DataFrame, licenses: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, scope, license_id``: scope is ``document`` or ``line``."""
-    licenses = known(docs.sparkSession) if licenses is None else frames.pick(licenses, license_id="license_id", digest="digest")
+    licenses = shipped(docs.sparkSession) if licenses is None else frames.pick(licenses, license_id="license_id", digest="digest")
     text = F.col("text")
     # only lines that the canonical form drops have another plain form
     names_holder = F.lower(text).rlike("copyright|©|\\(c\\)|all rights reserved")

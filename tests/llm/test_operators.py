@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pathlib
 import random
 import re
 from collections import Counter
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lynceus.llm import decontaminate, frames, language, licenses, ogg, packing, quality, queries, rangecoder, simhash, textkernel, tokens, toxicity
+from lynceus.llm import decontaminate, frames, language, licenses, licensetable, ogg, packing, quality, queries, rangecoder, simhash, textkernel, tokens, toxicity
 
 BENCH = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"), (2, "short item"), (3, None), (4, ""), (2, "short item")]
 
@@ -270,6 +271,20 @@ def test_dropped_lines_are_notices_too(spark):
     assert found == {(1, "document", "proprietary"), *((k, "line", "proprietary") for k in (1, 2, 3))}
 
 
+def test_whole_licenses_and_usual_notices_are_found(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    texts = {(name, part): (folder / name).read_text() for _, name, part, _ in licensetable.DIGESTS if (folder / name).exists()}
+    texts = {(name, part): t if part == "whole" else t[: t.index("END OF TERMS AND CONDITIONS") + 27].upper() for (name, part), t in texts.items()}
+    notices = {"GPL-2.0": "Licensed under the GNU General Public License, version 2.", "LGPL-2.1-or-later": "SPDX-License-Identifier: LGPL-2.1-or-later", "MPL-2.0": "# This file is licensed under the Mozilla Public License, Version 2.0", "GPL-3.0-or-later": "SPDX-License-Identifier: GPL-3.0-or-later", "BSD-3-Clause": "Released under the BSD 3-Clause License", "AGPL-3.0": "Licensed under the GNU Affero General Public Licence, Version 3"}
+    rows = [("|".join(k), t) for k, t in texts.items()] + [(k, f"Words.\n{t}\nMore words.") for k, t in notices.items()] + [("none", "Mozilla Public License")]
+    found = {(r.doc_id, r.scope, r.license_id) for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).where("license_id <> 'proprietary'").collect()}
+    assert found == {(f"{name}|{part}", "document", x) for x, name, part, _ in licensetable.DIGESTS if (name, part) in texts} | {(k, "line", k) for k in notices}
+
+
+def test_notices_name_one_license_each(spark):
+    assert licenses.shipped(spark).groupBy("digest").count().where("count > 1").count() == 0
+
+
 def test_large_license_table_is_joined_by_a_shuffle(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     monkeypatch.setattr(licenses, "BROADCAST_ROWS", 1)
