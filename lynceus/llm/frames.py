@@ -8,6 +8,7 @@ exactly is the one used.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -47,13 +48,24 @@ def keep_rows(df: DataFrame, column: str, test: Callable) -> DataFrame:
     return positional(df).where(test(F.col(f"_{at}"))).toDF(*df.columns)
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the session's shared checkpoint folder; make one only where unset."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where the setting is missing, a session that runs in a single process gets a
+    temporary folder; on a cluster a folder of one machine would be wrong.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    if shared:
+        return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="shared-")
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Checkpoint to the session's shared folder."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,15 +17,23 @@ queries meet in the same task by a shuffle of narrow rows (24 bytes and a key).
 a pair *at* the radius with probability ``recall``; closer pairs are found with
 a higher one. Nothing caps the partners of a document or the size of a shard.
 
-A task that finds pairs emits its local components as stars, so a group of
-thousands of copies costs thousands of edges and not millions. Identical
-fingerprints are collapsed before the search.
-
-Cases. Null, empty or wordless text: no fingerprint, a group of its own, kept.
-Very long text: all words count. Ties: the least ``doc_id`` of a group stays;
-of rows that repeat that id one stays. Null ``doc_id``: the row is kept and
-belongs to no group. Empty table: no rows. Extra columns: ignored by
-``groups``, kept by ``deduplicate``.
+All descendants of a node by its edge ``e`` are at distance ``e`` of it. So a
+query within the radius of a node need not descend by edges up to the radius:
+what hangs there is linked to the node already, and groups are all that is
+asked for. A cluster of ``m`` close copies thus costs about ``m`` comparisons
+and not ``m * m / 2``. A task emits its local components as stars, so a group
+of thousands of copies costs thousands of edges and not millions. Identical
+fingerprints are collapsed before the search. Nodes are fingerprints under
+numbers of their own, so an id that carries different texts links nothing.
+
+Cases. A document is a row: an id and a text. Null, empty or wordless text: no
+fingerprint, a group of its own. Very long text: all words count. Ties: the
+least ``doc_id`` of a group stays, and of several rows with that id the one
+with the least fingerprint and text hash. Rows with the same id and the same
+text are one document: one of them stays. One id with different texts: each
+row is in the group of its own text, and a row of each group stays. Null
+``doc_id``: the row is kept and belongs to no group. Empty table: no rows.
+Extra columns: ignored by ``groups``, kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -42,7 +50,7 @@ from lynceus.llm import frames, textkernel
 
 RADIUS = 22
 RECALL = 0.95
-SHARD_ROWS = 64
+SHARD_ROWS = 128
 BITS = 128
 
 _SIGNS = (((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2 - 1).astype(np.float32)
@@ -85,14 +93,14 @@ class Forest:
 
     Trees are built level by level: of the rows that reached the same edge the
     first becomes a node, and the others go down its edge for their distance
-    to it. ``edge_of`` holds, sorted, ``parent * 256 + distance`` of every node
-    but the roots.
+    to it. The children of a node and their edges are ``child`` and ``edge``
+    from ``begin`` of the node on, ``size`` of them, in the order of the edges.
     """
 
     def __init__(self, shard: np.ndarray, prints: np.ndarray):
         """``shard`` must be sorted; rows are nodes under their own index."""
         n = len(shard)
-        self.prints = prints
+        self.lanes = np.ascontiguousarray(prints[:, 0]), np.ascontiguousarray(prints[:, 1])
         where = np.zeros(n, np.int64)
         if n:
             where[1:] = np.cumsum(shard[1:] != shard[:-1])
@@ -112,32 +120,49 @@ class Forest:
                 children.append(rows[head])
             rest = ~head
             rows, node = rows[rest], node[rest]
-            where = node * 256 + distance(prints[rows], prints[node])
+            where = node * 256 + self.distance(rows, node)
             level += 1
-        self.edge_of = np.concatenate(edges) if edges else np.zeros(0, np.int64)
-        self.child = np.concatenate(children) if children else np.zeros(0, np.int64)
-        order = np.argsort(self.edge_of)
-        self.edge_of, self.child = self.edge_of[order], self.child[order]
+        edge_of = np.concatenate(edges) if edges else np.zeros(0, np.int64)
+        order = np.argsort(edge_of)
+        edge_of = edge_of[order]
+        self.child = (np.concatenate(children) if children else np.zeros(0, np.int64))[order]
+        self.edge = (edge_of & 255).astype(np.int16)
+        self.begin = np.searchsorted(edge_of >> 8, np.arange(n + 1))
+        self.size = np.diff(self.begin)
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = self.lanes
+        return np.bitwise_count(x[a] ^ x[b]).astype(np.int16) + np.bitwise_count(y[a] ^ y[b])
 
     def pairs(self, radius: int, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Every pair of rows of one shard within the radius, each once."""
-        for start in range(0, len(self.prints), block):
-            query = np.arange(start, min(start + block, len(self.prints)))
+        return self._walk(radius, block, False)
+
+    def links(self, radius: int, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs within the radius that connect all that ``pairs`` connects."""
+        return self._walk(radius, block, True)
+
+    def _walk(self, radius: int, block: int, connect: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for start in range(0, len(self.roots), block):
+            query = np.arange(start, min(start + block, len(self.roots)))
             node = self.roots[query]
             while len(query):
-                apart = distance(self.prints[query], self.prints[node])
-                hit = (apart <= radius) & (node < query)
+                apart = self.distance(query, node)
+                near = apart <= radius
+                hit = near & (node < query)
                 if hit.any():
                     yield query[hit], node[hit]
-                low = np.searchsorted(self.edge_of, node * 256 + np.maximum(apart - radius, 0))
-                high = np.searchsorted(self.edge_of, node * 256 + np.minimum(apart + radius, BITS), "right")
+                inner = np.flatnonzero(self.size[node])
+                query, node, apart = query[inner], node[inner], apart[inner]
+                lowest = apart - radius
+                if connect:  # edges up to the radius lead to what is linked to the node already
+                    lowest = np.where(apart <= radius, radius + 1, lowest)
+                size = self.size[node]
+                flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.begin[node], size)
+                edge, child, query = self.edge[flat], self.child[flat], np.repeat(query, size)
                 # descendants come after their ancestors, so rows up to the query suffice
-                size = high - low
-                query = np.repeat(query, size)
-                flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-                node = self.child[flat]
-                earlier = node < query
-                query, node = query[earlier], node[earlier]
+                follow = (edge >= np.repeat(lowest, size)) & (edge <= np.repeat(apart + radius, size)) & (child < query)
+                query, node = query[follow], child[follow]
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,27 +207,22 @@ def _as_prints(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1)], axis=1)
 
 
-def _print_batches(id_type: pa.DataType):
-    def run(stream):
-        for batch in frames.batches(stream):
-            prints, present = fingerprints(batch.column(1))
-            gone = pa.array(~present)
-            lanes = [pa.array(prints[:, k].view(np.int64), mask=gone.to_numpy(zero_copy_only=False)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lanes], names=["doc_id", "fp0", "fp1"])
-
-    return run
+def _print_batches(stream):
+    for batch in frames.batches(stream):
+        prints, present = fingerprints(batch.column(1))
+        lanes = [pa.array(prints[:, k].view(np.int64), mask=~present) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lanes], names=["doc_id", "text_hash", "fp0", "fp1"])
 
 
 def _deal(bits: int, tables: int):
     def run(stream):
         for batch in frames.batches(stream):
-            prints = _as_prints(batch)
+            prints, nodes = _as_prints(batch), batch.column(2).to_numpy()
             for start in range(0, len(prints), 8192):
                 part = prints[start : start + 8192]
                 keys = shard_keys(part, bits, tables)
                 lanes = np.repeat(part, tables, axis=0).view(np.int64)
-                ids = batch.column(2).slice(start, len(part)).take(pa.array(np.repeat(np.arange(len(part)), tables)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(lanes[:, 0]), pa.array(lanes[:, 1]), ids], names=["shard", "fp0", "fp1", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(lanes[:, 0]), pa.array(lanes[:, 1]), pa.array(np.repeat(nodes[start : start + 8192], tables))], names=["shard", "fp0", "fp1", "node"])
 
     return run
 
@@ -215,12 +235,11 @@ def _search(radius: int, rows: int = 1 << 17):
         shard = table.column(0).to_numpy()
         lanes = np.stack([table.column(i).to_numpy().view(np.uint64) for i in (1, 2)], axis=1)
         forest = Forest(shard, lanes)
-        found = list(forest.pairs(radius))
+        found = list(forest.links(radius))
         if not found:
             return None
         a, b = (np.concatenate(x) for x in zip(*found))
-        ids = table.column(3).to_numpy(zero_copy_only=False)
-        nodes, place = np.unique(ids, return_inverse=True)  # one number per document, in the order of the ids
+        nodes, place = np.unique(table.column(3).to_numpy(), return_inverse=True)  # a fingerprint is in several tables
         label = components(len(nodes), place[a], place[b])
         moved = np.flatnonzero(label != np.arange(len(nodes)))
         return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["a", "b"])
@@ -284,42 +303,64 @@ def connected(edges: DataFrame) -> DataFrame:
             return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def groups(docs: DataFrame, *, radius: int = RADIUS, recall: float = RECALL, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp0, fp1, group_id, is_kept`` for every row of ``docs``.
-
-    ``group_id`` is the least ``doc_id`` of the near copies, the document's own
-    id where it has none.
-    """
-    frames.ensure_checkpoints(docs.sparkSession)
+def _judged(docs: DataFrame, radius: int, recall: float, shard_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_hash, group_id, is_kept`` for every row of ``docs``."""
+    spark = docs.sparkSession
+    frames.ensure_checkpoints(spark)
     narrow = frames.pick(docs, doc_id=id_col, text=text_col)
     kind = frames.ddl(narrow, "doc_id")
-    prints = narrow.mapInArrow(_print_batches(None), f"doc_id {kind}, fp0 long, fp1 long").checkpoint()
-    nodes = prints.where("fp0 is not null and doc_id is not null").groupBy("fp0", "fp1").agg(F.min("doc_id").alias("node"))
+    prints = narrow.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_print_batches, f"doc_id {kind}, text_hash long, fp0 long, fp1 long").checkpoint()
+    whole = prints.where("fp0 is not null and doc_id is not null")
+    # the numbers are written with the rows, so they stay what they are
+    nodes = whole.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
     count = nodes.count()
     bits, tables = tables_for(count, radius, recall, shard_rows)
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(count * tables / 500_000))
-    edges = (
-        nodes.mapInArrow(_deal(bits, tables), f"shard long, fp0 long, fp1 long, node {kind}")
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(count * tables / 500_000))
+    roots = connected(
+        nodes.select("fp0", "fp1", "node")
+        .mapInArrow(_deal(bits, tables), "shard long, fp0 long, fp1 long, node long")
         .repartition(parts, "shard")
         .sortWithinPartitions("shard")
-        .mapInArrow(_search(radius), f"a {kind}, b {kind}")
+        .mapInArrow(_search(radius), "a long, b long")
     )
-    roots = connected(edges)
-    rank = Window.partitionBy("doc_id").orderBy("fp0", "fp1")
+    # fingerprints that are grouped with others; the rest stand for themselves
+    of_group = Window.partitionBy("root").orderBy("low", "fp0", "fp1")
+    grouped = (
+        nodes.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "node")
+        .select("fp0", "fp1", F.first("low").over(of_group).alias("_group"), (F.row_number().over(of_group) == 1).alias("_first"))
+    )
+    of_print = Window.partitionBy("fp0", "fp1").orderBy("doc_id", "text_hash")
+    of_text = Window.partitionBy("doc_id", "text_hash").orderBy("text_hash")
     return (
-        prints.join(nodes, ["fp0", "fp1"], "left")
-        .join(roots, "node", "left")
-        .select("doc_id", "fp0", "fp1", F.coalesce("root", "node", "doc_id").alias("group_id"))
-        .withColumn("is_kept", F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("group_id")) & (F.row_number().over(rank) == 1)))
+        whole.select("*", F.first("doc_id").over(of_print).alias("_low"), F.row_number().over(of_print).alias("_nth"))
+        .join(grouped, ["fp0", "fp1"], "left")
+        .select("doc_id", "text_hash", F.coalesce("_group", "_low").alias("group_id"), ((F.col("_nth") == 1) & F.coalesce("_first", F.lit(True))).alias("is_kept"))
+        .unionByName(prints.where("fp0 is null and doc_id is not null").select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), (F.row_number().over(of_text) == 1).alias("is_kept")))
+        .unionByName(prints.where("doc_id is null").select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(True).alias("is_kept")))
     )
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def groups(docs: DataFrame, *, radius: int = RADIUS, recall: float = RECALL, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, group_id, is_kept`` for every row of ``docs``.
+
+    ``group_id`` is the least ``doc_id`` of the near copies, the document's own
+    id where it has none.
+    """
+    return _judged(docs, radius, recall, shard_rows, id_col, text_col).select("doc_id", "group_id", "is_kept")
+
+
+def deduplicate(docs: DataFrame, *, radius: int = RADIUS, recall: float = RECALL, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group, all its columns as they were."""
-    found = groups(docs, id_col=id_col, text_col=text_col, **options)
-    drop = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("is_kept").alias("stays")).where("not stays").select("doc_id")
-    key = f"_{frames.index_of(docs, id_col)}"
-    text = f"_{frames.index_of(docs, text_col)}"
-    rows = frames.positional(docs).join(drop.withColumnRenamed("doc_id", "_drop"), F.col(key) == F.col("_drop"), "left_anti")
-    rank = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    return rows.withColumn("_rank", F.when(F.col(key).isNotNull(), F.row_number().over(rank))).where("_rank is null or _rank = 1").drop("_rank").toDF(*docs.columns)
+    judged = _judged(docs, radius, recall, shard_rows, id_col, text_col)
+    drop = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("_drop"), F.col("text_hash").alias("_drop_hash")).agg(F.bool_or("is_kept").alias("_stays")).where("not _stays")
+    key = F.col(f"_{frames.index_of(docs, id_col)}")
+    rows = frames.positional(docs).withColumn("_hash", F.xxhash64(f"_{frames.index_of(docs, text_col)}"))
+    # rows that repeat id and text meet under the key of the join
+    rank = Window.partitionBy(key, "_hash").orderBy("_hash")
+    return (
+        rows.join(drop, (key == F.col("_drop")) & (F.col("_hash") == F.col("_drop_hash")), "left_anti")
+        .withColumn("_rank", F.row_number().over(rank))
+        .where(key.isNull() | (F.col("_rank") == 1))
+        .drop("_rank", "_hash")
+        .toDF(*docs.columns)
+    )

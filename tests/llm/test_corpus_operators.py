@@ -524,6 +524,19 @@ def test_trees_find_the_pairs_of_brute_force():
         found = {(int(a), int(b)) for u, v in simhash.Forest(shard, prints).pairs(radius, block=128) for a, b in zip(u, v)}
         want = {(i, j) for i in range(600) for j in range(i) if shard[i] == shard[j] and int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= radius}
         assert found == want
+        links = [np.concatenate(x) for x in zip(*simhash.Forest(shard, prints).links(radius, block=128))] or [np.zeros(0, np.int64)] * 2
+        assert {*zip(*(x.tolist() for x in links))} <= want
+        sides = [np.array([p[k] for p in sorted(want)], np.int64) for k in (0, 1)]
+        assert simhash.components(600, *links).tolist() == simhash.components(600, *sides).tolist()
+
+
+def test_clusters_of_close_copies_cost_a_comparison_each():
+    rng = np.random.default_rng(4)
+    prints = np.repeat(rng.integers(0, 1 << 63, (1, 2), dtype=np.uint64), 3000, axis=0)
+    prints[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
+    prints[:, 1] ^= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
+    found = list(simhash.Forest(np.zeros(3000, np.int64), prints).links(simhash.RADIUS))
+    assert sum(len(a) for a, _ in found) == 2999
 
 
 def test_components_by_pointer_jumping():
@@ -551,9 +564,11 @@ def test_connected_tables(spark):
 
 def test_recall_against_brute_force(spark, sf_dir):
     docs = frames.read(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")
-    rows = simhash.groups(docs, shard_rows=8).collect()  # small shards: many tables
-    prints = np.array([[r.fp0, r.fp1] for r in rows if r.fp0 is not None], np.int64).view(np.uint64)
-    group = np.array([r.group_id for r in rows if r.fp0 is not None])
+    found = {r.doc_id: r.group_id for r in simhash.groups(docs, shard_rows=8).collect()}  # small shards: many tables
+    texts = docs.select("doc_id", "text").collect()
+    prints, present = simhash.fingerprints(pa.array([r.text for r in texts]))
+    prints = prints[present]
+    group = np.array([found[r.doc_id] for r, some in zip(texts, present) if some])
     apart = simhash.distance(np.repeat(prints, len(prints), axis=0), np.tile(prints, (len(prints), 1))).reshape(len(prints), -1)
     a, b = np.nonzero(np.triu(apart <= simhash.RADIUS, 1))
     assert len(a) > 50 and (group[a] == group[b]).mean() >= 0.9
@@ -579,6 +594,46 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, k * 10) for k in range(12)] + [(False, 500), (False, 501), (True, 0)])
 
 
+def _by_brute_force(rows):
+    """Rows that stay: one of each component of texts within the radius, the least id first."""
+    prints, present = simhash.fingerprints(pa.array([t for _, t in rows], pa.string()))
+    distinct = sorted({(i, t) for i, t in rows if i is not None}, key=lambda r: (r[0], r[1] or ""))
+    at = {r: rows.index(r) for r in distinct}
+    group = {r: n for n, r in enumerate(distinct)}
+    for _ in distinct:
+        for r in distinct:
+            for q in distinct:
+                if present[at[r]] and present[at[q]] and int(np.bitwise_count(prints[at[r]] ^ prints[at[q]]).sum()) <= simhash.RADIUS:
+                    group[r] = group[q] = min(group[r], group[q])
+    least = {}
+    for r in distinct:
+        least.setdefault(group[r], r[0])
+    return sorted(least.values()), len(set(group.values())) + sum(i is None for i, _ in rows), {r: least[group[r]] for r in distinct}
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_one_id_with_different_texts_loses_none(spark, turn):
+    one, two = " ".join(f"one{k}" for k in range(60)), " ".join(f"two{k}" for k in range(60))
+    if turn:
+        one, two = two, one
+    cases = [
+        [(1, one), (2, one), (2, two), (3, two)],
+        [(1, one), (1, two), (1, one)],
+        [(5, one), (5, two), (4, two), (4, one + " more"), (None, one), (6, ""), (6, ""), (6, None), (7, "!!"), (8, two)],
+    ]
+    for rows in cases:
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        ids, number, group = _by_brute_force(rows)
+        kept = [tuple(r) for r in simhash.deduplicate(frame).collect()]
+        assert len(kept) == number and sorted(i for i, _ in kept if i is not None) == ids
+        assert {group[r] for r in kept if r[0] is not None} == set(ids)
+        assert {t for _, t in kept if t} >= ({one, two} & {t for _, t in rows})
+        judged = simhash.groups(frame)
+        assert judged.columns == ["doc_id", "group_id", "is_kept"] and judged.count() == len(rows)
+        assert judged.where("is_kept").count() == number
+        assert {(r.doc_id, r.group_id) for r in judged.where("doc_id is not null").collect()} == {(r[0], g) for r, g in group.items()}
+
+
 # -- odd tables -----------------------------------------------------------------------------------
 
 
