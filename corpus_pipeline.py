@@ -6,8 +6,6 @@ but the last return the columns of their input; the last returns the packing.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lynceus.llm import decontaminate, frames, language, packing, quality, simhash
@@ -53,9 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each result is written and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{shared.rstrip('/')}/pipeline" if shared else tempfile.mkdtemp(prefix="pipeline-")
-    work = f"{root}/{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
+    work = f"{frames.shared_folder(spark)}/pipeline/{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
     docs = frames.read(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{work}/{number}-{name}"
