@@ -3,7 +3,9 @@
 Texts and benchmark items are lower-cased and every run of bytes that are not
 letters or digits becomes one space. The test strings are all windows of
 ``window`` consecutive words of an item (the whole item where it is shorter),
-so a document that quotes part of an item is found too.
+so a document that quotes part of an item is found too. Items of under
+``least_words`` words are not searched: everyday texts hold "Paris" without
+quoting a benchmark.
 
 Search follows Wu and Manber: ``m`` is the length of the shortest test string,
 and only the first ``m`` bytes of each take part. The shift table, indexed by a
@@ -15,11 +17,15 @@ one numpy vector. Strings of under ``SHORT`` bytes get tables of their own, so
 that they don't shorten the shifts of the others.
 
 The test strings are broadcast with the task. That set depends on the
-benchmark and not on the corpus; it is checked against ``PATTERNS_PER_PASS``
-and a larger one is searched in passes over the same text, so no string is left
-out and a task's tables stay bounded.
-
-Cases. Null, empty or wordless text or item: nothing is found. Very long text:
+benchmark and not on the corpus. Its size is counted first, on the executors:
+up to ``PATTERNS_PER_PASS`` windows there is one pass, and a larger benchmark is
+parted by a hash of the item's id into passes that each collect, broadcast and
+search their own part, so no string is left out, and what the driver and a task
+hold stays bounded. (One item is never parted.) ``remove`` writes the rows that
+are left between passes, so that a task holds the tables of one.
+
+Cases. Null, empty or wordless text or item, and an item that is too short:
+nothing is found. Very long text:
 searched whole. An item repeated under several ids: each id is reported.
 Repeated documents: each row is reported. Null ``doc_id`` or ``item_id``:
 carried through. Empty tables: no rows. Extra columns: ignored by ``matches``,
@@ -28,15 +34,20 @@ kept by ``remove``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lynceus.llm import frames, textkernel
 
 WINDOW = 13
+LEAST_WORDS = 5
 BLOCK = 8
 SHORT = 24
 PATTERNS_PER_PASS = 200_000
@@ -50,7 +61,7 @@ def normalise(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     Documents are whole in the result and adjoin with two spaces, which no
     test string contains.
     """
-    word = textkernel.WORD_BYTE[raw]
+    word = textkernel.classes(raw, textkernel.WORD_BYTE)
     starts, ends, first = textkernel.runs(word, offsets)
     size = np.diff(first)
     if not len(starts):
@@ -66,19 +77,17 @@ def normalise(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, ends_at
 
 
-def strings(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[bytes, list]:
+def strings(items: list[tuple[object, str | None]], window: int = WINDOW, least_words: int = LEAST_WORDS) -> dict[bytes, list]:
     """Test string -> ids of the items that hold it."""
-    found: dict[bytes, list] = {}
+    found: dict[bytes, dict] = {}
     texts = pa.array([t for _, t in items], pa.string())
     for row, raw, offsets in textkernel.slices(texts):
         clean, at = normalise(raw, offsets)
         for k in range(len(at) - 1):
             words = clean[at[k] : at[k + 1]].tobytes().split()
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                ids = found.setdefault(b" " + b" ".join(words[i : i + window]) + b" ", [])
-                if items[row + k][0] not in ids:
-                    ids.append(items[row + k][0])
-    return found
+            for i in range(max(1, len(words) - window + 1) if len(words) >= max(1, least_words) else 0):
+                found.setdefault(b" " + b" ".join(words[i : i + window]) + b" ", {})[items[row + k][0]] = None
+    return {piece: [*ids] for piece, ids in found.items()}
 
 
 class WuManber:
@@ -145,8 +154,8 @@ class WuManber:
 class Detector:
     """All passes of tables over a benchmark's test strings."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW, per_pass: int = PATTERNS_PER_PASS):
-        found = strings(items, window)
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW, per_pass: int = PATTERNS_PER_PASS, least_words: int = LEAST_WORDS):
+        found = strings(items, window, least_words)
         self.tables, self.ids = [], []
         for of_size in (lambda p: len(p) < SHORT, lambda p: len(p) >= SHORT):
             group = [p for p in found if of_size(p)]
@@ -171,39 +180,58 @@ class Detector:
                 yield d, item, len(which)
 
 
-def _items(benchmark: DataFrame, item_col: str, text_col: str) -> list[tuple[object, str | None]]:
-    return [tuple(r) for r in frames.pick(benchmark, item=item_col, text=text_col).collect()]
+def _passes(benchmark: DataFrame, window: int, least_words: int, per_pass: int, item_col: str, text_col: str) -> tuple[int, Callable[[int], Broadcast]]:
+    """How many passes the benchmark needs, and the broadcast tables of each."""
+    items = frames.pick(benchmark, item=item_col, text=text_col)
+    # every word begins a window at most; a run of marks counts as a word, which does no harm
+    windows = items.select(F.sum(F.greatest(F.size(F.split("text", r"\s+")), F.lit(0)))).first()[0] or 0
+    passes = max(1, -(-windows // per_pass))
+
+    def table(number: int) -> Broadcast:
+        own = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == number) if passes > 1 else items
+        return benchmark.sparkSession.sparkContext.broadcast(Detector([tuple(r) for r in own.collect()], window, least_words=least_words))
 
+    return passes, table
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+
+def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, least_words: int = LEAST_WORDS, per_pass: int = PATTERNS_PER_PASS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, n_windows`` for every document and item that share a test string."""
-    detector = Detector(_items(benchmark, item_col, item_text_col), window)
     narrow = frames.pick(docs, doc_id=id_col, text=text_col)
     item = frames.pick(benchmark, item_id=item_col)
-    shared = docs.sparkSession.sparkContext.broadcast(detector)
-    item_type = pa.int64() if frames.ddl(item, "item_id") in ("bigint", "int") else pa.string()
+    item_type = to_arrow_type(item.schema["item_id"].dataType)
+    passes, table = _passes(benchmark, window, least_words, per_pass, item_col, item_text_col)
+
+    def found_by(shared: Broadcast) -> DataFrame:
+        def run(stream):
+            for batch in frames.batches(stream):
+                found = list(shared.value.scan(batch.column(1)))
+                if found:
+                    rows, items, counts = zip(*found)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(items, item_type), pa.array(counts, pa.int64())], names=["doc_id", "item_id", "n_windows"])
 
-    def run(stream):
-        for batch in frames.batches(stream):
-            found = list(shared.value.scan(batch.column(1)))
-            if found:
-                rows, items, counts = zip(*found)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(items, item_type), pa.array(counts, pa.int64())], names=["doc_id", "item_id", "n_windows"])
+        return narrow.mapInArrow(run, f"doc_id {frames.ddl(narrow, 'doc_id')}, item_id {frames.ddl(item, 'item_id')}, n_windows long")
 
-    return narrow.mapInArrow(run, f"doc_id {frames.ddl(narrow, 'doc_id')}, item_id {'bigint' if item_type == pa.int64() else 'string'}, n_windows long")
+    return reduce(DataFrame.union, [found_by(table(k)) for k in range(passes)])
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, least_words: int = LEAST_WORDS, per_pass: int = PATTERNS_PER_PASS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a test string; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(Detector(_items(benchmark, item_col, item_text_col), window))
+    passes, table = _passes(benchmark, window, least_words, per_pass, item_col, item_text_col)
+
+    def without(rows: DataFrame, shared: Broadcast) -> DataFrame:
+        @F.arrow_udf("boolean")
+        def clean(column: pa.Array) -> pa.Array:
+            fine = np.ones(len(column), bool)
+            fine[[row for row, _, _ in shared.value.scan(column)]] = False
+            return pa.array(fine)
 
-    @F.arrow_udf("boolean")
-    def clean(column: pa.Array) -> pa.Array:
-        fine = np.ones(len(column), bool)
-        fine[[row for row, _, _ in shared.value.scan(column)]] = False
-        return pa.array(fine)
+        return frames.keep_rows(rows, text_col, clean)
 
-    return frames.keep_rows(docs, text_col, clean)
+    left = without(docs, table(0))
+    for k in range(1, passes):
+        frames.ensure_checkpoints(docs.sparkSession)
+        left = without(left.checkpoint(), table(k))
+    return left
 
 
 #: The same result by comparing every document with every test string.
@@ -214,7 +242,7 @@ WITH clean AS (
   SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')), ' ') AS w FROM benchmark
 ), test AS (
   SELECT DISTINCT item_id, ' ' || array_to_string(w[i : i + {WINDOW - 1}], ' ') || ' ' AS piece
-  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - {WINDOW - 2}))) AS i FROM item WHERE w[1] <> '')
+  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - {WINDOW - 2}))) AS i FROM item WHERE w[1] <> '' AND len(w) >= {LEAST_WORDS})
 )
 SELECT doc_id, item_id, count(*) AS n_windows FROM clean JOIN test ON contains(body, piece) GROUP BY doc_id, item_id
 """
