@@ -3,10 +3,13 @@
 Only lengths matter to a packing, and there are at most ``capacity`` of them.
 So the instance that is solved is a histogram of lengths, whose size doesn't
 depend on the number of documents; documents are then dealt to the places of
-their length by their rank among the documents of that length.
+their length by their rank among the documents of that length. Ranks are counted
+in salts of about ``SALT_ROWS`` pieces, as many as the length has need of, so
+that no length is one task.
 
 A document longer than the capacity is cut into pieces of the full capacity and
-a rest. Every piece is placed.
+a rest. Every piece is placed. A piece of the full capacity is a bin by itself;
+such pieces are numbered where they lie, without a shuffle, behind the other bins.
 
 The reduction follows Martello and Toth. For an item ``j``, the feasible set
 ``{j}``, ``{j, k}`` or ``{j, a, b}`` may be fixed as a bin for good if it
@@ -24,8 +27,8 @@ Fixed sets leave the instance, and passes over it are repeated until nothing
 changes. What is left is packed best-fit, largest first.
 
 Cases. Null text or no tokens: no place is needed; bin and offset are null.
-Ties: documents of one length are ranked by ``doc_id``; rows that repeat get
-a place each. Null ``doc_id``: ranked first. Very long text: as many pieces as
+Ties: documents of one length are ranked by ``doc_id`` within a salt; rows that
+repeat get a place each. Null ``doc_id``: ranked first. Very long text: as many pieces as
 it needs. Empty table: no rows. Extra columns: ignored.
 """
 
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 from lynceus.llm import frames, tokens
 
 CAPACITY = 2048
-SALTS = 32
+SALT_ROWS = 1_000_000
 
 Pattern = tuple[int, list[tuple[int, int]]]  # how many bins, and (length, how many) in each
 
@@ -175,7 +178,7 @@ def places(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]
     return out
 
 
-def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Pack a table ``(doc_id, n_tokens)``; see ``pack``."""
     spark = lengths.sparkSession
     frames.ensure_checkpoints(spark)
@@ -183,30 +186,41 @@ def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces = (
         lengths.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(size / capacity) - 1, F.lit(0)))).alias("piece"), size.alias("_all"))
         .select("doc_id", F.col("piece").cast("int").alias("piece"), F.least(F.lit(capacity), F.col("_all") - F.col("piece") * capacity).cast("int").alias("n_tokens"))
-        .withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
         .checkpoint()
     )
-    by_salt = pieces.where("n_tokens > 0").groupBy("n_tokens", "_salt").agg(F.count("*").alias("n"))
-    # at most capacity x SALTS rows, whatever the number of documents
-    known = [(r[0], r[1], r[2]) for r in by_salt.orderBy("n_tokens", "_salt").collect()]
-    histogram, before = defaultdict(int), []
-    for length, salt, n in known:
-        before.append((length, salt, histogram[length]))
-        histogram[length] += n
+    partial = pieces.where(f"n_tokens > 0 and n_tokens < {capacity}")
+    # at most as many rows as the capacity, whatever the number of documents
+    histogram = {r[0]: r[1] for r in partial.groupBy("n_tokens").agg(F.count("*")).collect()}
+    patterns = solve(histogram, capacity)
+    runs = spark.createDataFrame(places(patterns), "_len int, _first long, _end long, _each int, _bin long, _at int")
+    salts = spark.createDataFrame([(n, -(-count // salt_rows)) for n, count in histogram.items()], "n_tokens int, _salts int")
+    salted = partial.join(F.broadcast(salts), "n_tokens").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_salts")).cast("int"))
+    # one row for every salt_rows pieces, and one for each length
+    before, seen = [], defaultdict(int)
+    for length, salt, n in salted.groupBy("n_tokens", "_salt").agg(F.count("*")).orderBy("n_tokens", "_salt").collect():
+        before.append((length, salt, seen[length]))
+        seen[length] += n
     starts = spark.createDataFrame(before, "n_tokens int, _salt int, _before long")
-    runs = spark.createDataFrame(places(solve(histogram, capacity)), "n_tokens int, _first long, _end long, _each int, _bin long, _at int")
     rank = Window.partitionBy("n_tokens", "_salt").orderBy("doc_id", "piece")
-    # both small sides are bounded by the capacity
-    ranked = pieces.withColumn("_rank", F.row_number().over(rank)).join(F.broadcast(starts), ["n_tokens", "_salt"], "left").withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
-    here = F.broadcast(runs.withColumnRenamed("n_tokens", "_len"))
+    ranked = salted.withColumn("_rank", F.row_number().over(rank)).join(F.broadcast(starts), ["n_tokens", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
     nth = F.col("_rank") - F.col("_first")
-    return ranked.join(here, (F.col("n_tokens") == F.col("_len")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")), "left").select(
+    placed = ranked.join(F.broadcast(runs), (F.col("n_tokens") == F.col("_len")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))).select(
         "doc_id",
         "piece",
         "n_tokens",
         (F.col("_bin") + F.floor(nth / F.col("_each"))).cast("long").alias("bin_id"),
         (F.col("_at") + F.pmod(nth, F.col("_each")) * F.col("n_tokens")).cast("int").alias("bin_offset"),
     )
+    # the id of a row holds its partition and its number there; the pieces are written, so neither changes
+    full = pieces.where(F.col("n_tokens") == capacity).withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33).cast("int"))
+    first, bases = sum(times for times, _ in patterns), []
+    for part, n in full.groupBy("_part").agg(F.count("*")).orderBy("_part").collect():  # a row for each partition
+        bases.append((part, first))
+        first += n
+    of_part = F.broadcast(spark.createDataFrame(bases, "_part int, _base long"))
+    alone = full.join(of_part, "_part").select("doc_id", "piece", "n_tokens", (F.col("_base") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).alias("bin_id"), F.lit(0).alias("bin_offset"))
+    nowhere = pieces.where("n_tokens <= 0").select("doc_id", "piece", "n_tokens", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("bin_offset"))
+    return placed.union(alone).union(nowhere)
 
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: str = tokens.VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
