@@ -5,6 +5,8 @@ pattern and kept only if their checksum is right, packets are reassembled from
 the lacing values across pages, pages are parted by serial number into logical
 streams, and times come from granule positions by the stream's codec (Opus:
 48 kHz less the pre-skip; Vorbis, FLAC and Speex: the header's sampling rate).
+A granule position is where the last packet that a page ends comes to its end:
+``page_s`` lists these times, ``start_s`` is the first and ``end_s`` the last.
 
 The page checksum is the CRC-32 of polynomial 0x04C11DB7 taken most significant
 bit first. It is computed by zlib's CRC, which takes bits in the other order:
@@ -20,7 +22,7 @@ and a Vorbis stream, interleaved page by page. ``unwrap`` undoes it.
 
 Cases. Null value: no rows. Empty value, or one without a good page: one row
 with a null serial, which tells the bytes that were skipped. Very long values:
-read whole. Chained streams that use a serial again: one stream each. Null
+read whole. Header fields of any value: taken as they are. Chained streams that use a serial again: one stream each. Null
 ``doc_id`` and repeated rows: read like any other. Empty table: no rows. Extra
 columns: ignored.
 """
@@ -146,7 +148,7 @@ class Stream:
             return "opus", first[9], 48_000, int.from_bytes(first[10:12], "little"), 2
         if first[:7] == b"\x01vorbis" and len(first) >= 16:
             return "vorbis", first[11], int.from_bytes(first[12:16], "little"), 0, 3
-        if first[:5] == b"\x7fFLAC" and len(first) >= 30:
+        if first[:5] == b"\x7fFLAC" and len(first) >= 31:
             bits = int.from_bytes(first[27:31], "big")
             return "flac", (bits >> 9 & 7) + 1, bits >> 12, 0, 1 + int.from_bytes(first[7:9], "big")
         if first[:8] == b"Speex   " and len(first) >= 52:
@@ -261,9 +263,9 @@ def wrap(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 _FIELDS = (
-    ("serial", pa.int64()), ("codec", pa.string()), ("channels", pa.int32()), ("rate", pa.int32()), ("n_pages", pa.int64()), ("lost_pages", pa.int64()),
+    ("serial", pa.int64()), ("codec", pa.string()), ("channels", pa.int64()), ("rate", pa.int64()), ("n_pages", pa.int64()), ("lost_pages", pa.int64()),
     ("n_packets", pa.int64()), ("dropped_packets", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()),
-    ("start_s", pa.float64()), ("end_s", pa.float64()), ("ended", pa.bool_()), ("skipped_bytes", pa.int64()),
+    ("start_s", pa.float64()), ("end_s", pa.float64()), ("page_s", pa.list_(pa.float64())), ("ended", pa.bool_()), ("skipped_bytes", pa.int64()),
 )
 
 
@@ -275,9 +277,10 @@ def describe(data: bytes) -> list[tuple]:
         codec, channels, rate, _, heads = s.header()
         payload = s.packets[heads:]
         times = [g for g in s.granules[heads:] if g is not None]
-        start, end = (s.seconds(times[0]), s.seconds(times[-1])) if times else (None, None)
-        out.append((s.serial, codec, channels, rate, s.pages, s.lost_pages, len(payload), s.dropped_packets, sum(map(len, payload)), hashlib.sha1(b"".join(payload)).hexdigest(), start, end, s.ended, skipped))
-    return out or [(None,) * 13 + (skipped,)]
+        clock = [s.seconds(g) for g in times]
+        start, end = (clock[0], clock[-1]) if clock else (None, None)
+        out.append((s.serial, codec, channels, rate, s.pages, s.lost_pages, len(payload), s.dropped_packets, sum(map(len, payload)), hashlib.sha1(b"".join(payload)).hexdigest(), start, end, clock, s.ended, skipped))
+    return out or [(None,) * 14 + (skipped,)]
 
 
 def streams(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -295,5 +298,5 @@ def streams(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media
             columns = [pa.array(list(x), kind) for x, (_, kind) in zip(zip(*found), _FIELDS)] if found else [pa.array([], kind) for _, kind in _FIELDS]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], names=["doc_id", *(n for n, _ in _FIELDS)])
 
-    kinds = "serial long, codec string, channels int, rate int, n_pages long, lost_pages long, n_packets long, dropped_packets long, payload_bytes long, payload_sha1 string, start_s double, end_s double, ended boolean, skipped_bytes long"
+    kinds = "serial long, codec string, channels long, rate long, n_pages long, lost_pages long, n_packets long, dropped_packets long, payload_bytes long, payload_sha1 string, start_s double, end_s double, page_s array<double>, ended boolean, skipped_bytes long"
     return narrow.mapInArrow(run, f"doc_id {frames.ddl(narrow, 'doc_id')}, {kinds}")
