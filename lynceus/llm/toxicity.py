@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are read as symbols of a small alphabet (strong and mild insults, threat
-verbs, addressees, intentions, negations, verbs of saying, anything else), and
-sentences, or lines, are the clauses that are scored. The grammar is the
-composition of five letter-to-letter transducers:
-
-* reported speech: after a verb of saying, an insult is only quoted;
+verbs, addressees, intentions, negations, verbs of saying, contrasts, anything
+else). Sentences, or lines, are the clauses that are scored; one of more than
+``CLAUSE`` words is scored in stretches of that many, so that a text without
+marks doesn't add up. The grammar is the composition of five letter-to-letter
+transducers:
+
+* reported speech: in the eight words after a verb of saying, up to a contrast,
+  insults and threats are only quoted;
 * negation: within three words after a negation, insults and threats are void;
 * target: an insult within three words after an addressee, or two before one,
   is aimed at somebody;
@@ -14,9 +17,12 @@ composition of five letter-to-letter transducers:
 * insult: weighs what the others left.
 
 ``compose`` builds the product automaton once; weights along its path add up to
-the clause's score, and the clauses' scores to the document's. A document is
-toxic from ``THRESHOLD`` on: one strong insult that is neither negated nor
-reported, or two mild ones.
+the clause's score. A document scores what its best clause does. Where two
+clauses or more have a score, it scores at least their sum over all its clauses
+in units of ``DENSITY``, up to ``THRESHOLD``, from which on it is toxic. (There
+clauses of under ``SHORT`` words on average count as if they had so many.) So it
+takes an aimed insult, a threat, two insults in a clause, or insults all over;
+neither a lone word convicts, nor two in a book.
 
 The lexicon of strong insults is extended with words learned from labelled
 documents (a bounded sample, the ``SAMPLE`` labelled rows whose ids hash
@@ -49,13 +55,16 @@ from pyspark.sql import functions as F
 from lynceus.llm import frames, textkernel
 
 THRESHOLD = 1.0
+DENSITY = 0.06
+CLAUSE = 40
+SHORT = 8
 SAMPLE = 20_000
-CONTEXTS = 8
+CONTEXTS = 4
 RATE = 4.0
 
-OTHER, INSULT, MILD, THREAT, YOU, THEY, INTENT, NEGATION, SAYING = range(9)
-AIMED, AIMED_MILD, QUOTED = 9, 10, 11
-_READ, _ALL = 9, 12
+OTHER, INSULT, MILD, THREAT, YOU, THEY, INTENT, NEGATION, SAYING, CONTRAST = range(10)
+AT_YOU, AT_THEM, MILD_AT_YOU, MILD_AT_THEM = range(10, 14)
+_READ, _QUOTE = 10, 8
 
 LEXICON = {
     INSULT: "idiot idiots idiotic moron morons moronic imbecile imbeciles scum scumbag worthless pathetic disgusting stupid loser losers dumbass bastard bastards asshole assholes bitch bitches whore slut retard retarded cretin subhuman vermin degenerate dimwit halfwit dipshit fuckwit dummkopf arschloch trottel vollidiot abschaum hurensohn schlampe connard connasse salaud abruti enculé imbécile ordure crétin estúpido estúpida idiota gilipollas cabrón imbécil escoria pendejo",
@@ -63,12 +72,13 @@ LEXICON = {
     THREAT: "kill murder hurt stab shoot strangle destroy beat burn hunt crush slaughter butcher hang smash töten umbringen schlagen tuer frapper matar golpear",
     YOU: "you your yours yourself youre ur du dich dir euch tu toi te vous ti usted",
     THEY: "he she him her they them their those these everyone everybody ihn sie ihnen lui eux ellos ellas",
-    INTENT: "will gonna going ll shall wanna want should must werde werden vais veux voy quiero",
+    INTENT: "will gonna going ll shall wanna want wants wanted plan plans planning mean means intend intends should must werde werden vais veux voy quiero",
     NEGATION: "not never no isn aren wasn weren don doesn didn won wouldn shouldn cannot cant isnt arent dont doesnt nobody hardly neither nor nicht kein keine nie pas jamais ne nunca jamás",
     SAYING: "said says say saying told tells called calls wrote writes quoted quotes reported reports claimed claims alleged allegedly stated according sagte sagt dit disait dijo dice",
+    CONTRAST: "but however yet though still now aber doch mais pero",
 }
 
-_BREAK = np.zeros(256, np.int32)
+_BREAK = np.zeros(256, np.int8)
 _BREAK[np.frombuffer(b".!?;\n", np.uint8)] = 1
 
 State = tuple
@@ -95,26 +105,29 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
 
 def _reported(state: State, symbol: int) -> tuple[State, int, float]:
     if symbol == SAYING:
-        return (1,), OTHER, 0.0
-    if state[0] and symbol in (INSULT, MILD):
-        return state, QUOTED, 0.0
-    return state, OTHER if state[0] and symbol == THREAT else symbol, 0.0
+        return (_QUOTE,), OTHER, 0.0
+    if symbol == CONTRAST:
+        return (0,), OTHER, 0.0
+    return (max(0, state[0] - 1),), OTHER if state[0] and symbol in (INSULT, MILD, THREAT) else symbol, 0.0
 
 
 def _negation(state: State, symbol: int) -> tuple[State, int, float]:
     if symbol == NEGATION:
         return (3,), OTHER, 0.0
     left = (max(0, state[0] - 1),)
-    return left, OTHER if state[0] and symbol in (INSULT, MILD, THREAT, QUOTED) else symbol, 0.0
+    return left, OTHER if state[0] and symbol in (INSULT, MILD, THREAT) else symbol, 0.0
 
 
 def _target(state: State, symbol: int) -> tuple[State, int, float]:
-    aimed, open_ = state  # words left in which an addressee's insult, an insult's addressee may follow
+    whom, aimed, open_ = state  # words left in which an addressee's insult, an insult's addressee may follow
     if symbol in (YOU, THEY):
-        return (3, 0), symbol, 0.5 if open_ and symbol == YOU else 0.0
+        return (symbol, 3, 0), symbol, 0.6 if open_ and symbol == YOU else 0.0
+    left = max(0, aimed - 1)
+    whom = whom if left else OTHER
     if symbol in (INSULT, MILD):
-        return (max(0, aimed - 1), 2), (AIMED if symbol == INSULT else AIMED_MILD) if aimed else symbol, 0.0
-    return (max(0, aimed - 1), max(0, open_ - 1)), symbol, 0.0
+        at_you, at_them = (AT_YOU, AT_THEM) if symbol == INSULT else (MILD_AT_YOU, MILD_AT_THEM)
+        return (whom, left, 2), symbol if not aimed else at_you if state[0] == YOU else at_them, 0.0
+    return (whom, left, max(0, open_ - 1)), symbol, 0.0
 
 
 def _threat(state: State, symbol: int) -> tuple[State, int, float]:
@@ -128,14 +141,14 @@ def _threat(state: State, symbol: int) -> tuple[State, int, float]:
     return (max(0, intent - 1), max(0, verb - 1)), symbol, 0.0
 
 
-_WEIGHT = {INSULT: 1.0, AIMED: 1.5, MILD: 0.5, AIMED_MILD: 1.0, QUOTED: 0.2}
+_WEIGHT = {INSULT: 0.6, AT_YOU: 1.5, AT_THEM: 1.2, MILD: 0.4, MILD_AT_YOU: 1.0, MILD_AT_THEM: 0.6}
 
 
 def _insult(state: State, symbol: int) -> tuple[State, int, float]:
     return state, symbol, _WEIGHT.get(symbol, 0.0)
 
 
-PARTS = (Transducer((0,), _reported), Transducer((0,), _negation), Transducer((0, 0), _target), Transducer((0, 0), _threat), Transducer((), _insult))
+PARTS = (Transducer((0,), _reported), Transducer((0,), _negation), Transducer((OTHER, 0, 0), _target), Transducer((0, 0), _threat), Transducer((), _insult))
 
 
 class Grammar:
@@ -197,31 +210,38 @@ class Scorer:
         """Score, and number of clauses that have one, of every text."""
         if self.grammar is None:
             self.grammar = Grammar()
-        total, clauses = np.zeros(len(column)), np.zeros(len(column), np.int64)
+        best, total, scored, clauses = (np.zeros(len(column)) for _ in range(4))
         for row, raw, offsets in textkernel.slices(column):
             starts, _, hashes, first = textkernel.words(raw, offsets)
             symbols = self.read(hashes)
             trigger = (symbols >= INSULT) & (symbols <= THREAT)
             if not trigger.any():
                 continue
-            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-            clause = np.cumsum(_BREAK[raw])[starts] + doc  # grows at breaks and between documents
+            docs = len(offsets) - 1
+            doc = np.repeat(np.arange(docs), np.diff(first))
+            sentence = np.cumsum(textkernel.classes(raw, _BREAK), dtype=np.int32)[starts] + doc  # grows at breaks and between documents
+            place = np.arange(len(symbols))
+            fresh = np.ones(len(symbols), bool)
+            fresh[1:] = sentence[1:] != sentence[:-1]
+            fresh |= (place - np.maximum.accumulate(np.where(fresh, place, 0))) % CLAUSE == 0
+            clauses[row : row + docs] = np.minimum(np.bincount(doc[fresh], minlength=docs), -(-np.diff(first) // SHORT))
+            clause = np.cumsum(fresh) - 1
             hot = np.zeros(int(clause[-1]) + 1, bool)
             hot[clause[trigger]] = True
             chosen = np.flatnonzero(hot[clause])
-            symbols, clause, doc = symbols[chosen], clause[chosen], doc[chosen]
+            symbols, fresh, doc = symbols[chosen], fresh[chosen], doc[chosen]
             place = np.arange(len(symbols))
-            fresh = np.ones(len(symbols), bool)
-            fresh[1:] = clause[1:] != clause[:-1]
             last = np.maximum.accumulate(np.where((symbols != OTHER) | fresh, place, 0))
-            near = place - last <= 5  # longer gaps leave every state as five words do
+            near = place - last <= _QUOTE + 1  # longer gaps leave every state as so many words do
             symbols, fresh, doc = symbols[near], fresh[near], doc[near]
             text, at = symbols.tobytes(), np.flatnonzero(fresh)
             for begin, end, d in zip(at.tolist(), [*at[1:].tolist(), len(text)], doc[at].tolist()):
                 if score := self.grammar.score(text[begin:end]):
+                    best[row + d] = max(best[row + d], score)
                     total[row + d] += score
-                    clauses[row + d] += 1
-        return total, clauses
+                    scored[row + d] += 1
+        dense = np.where(scored > 1, total / np.maximum(clauses, 1) / DENSITY, 0.0)
+        return np.maximum(best, np.minimum(dense, THRESHOLD)), scored.astype(np.int64)
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, contexts: int = CONTEXTS, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[int]:
