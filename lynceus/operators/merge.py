@@ -3,7 +3,11 @@
 Each takes the current table and a batch of rows and returns the new version of
 the table; nothing is updated in place. ``owned`` are the columns that the batch
 may change; the others keep the target's value, and are null in inserted rows.
-The batch is reduced to one row for each key first (``order`` decides which).
+The batch is reduced to one row for each key first: the last in ``order``, and of
+rows that ``order`` doesn't tell apart the one whose other columns are greatest,
+so the same batch gives the same table whenever it is run. Keys are matched
+null-safely: a null key is a key like any other, and a batch that is replayed
+changes nothing.
 """
 
 from __future__ import annotations
@@ -12,13 +16,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def last_by_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column | str] = ()) -> DataFrame:
-    """One row for each key, the last in ``order``; any if there is no order."""
-    if not order:
-        return rows.dropDuplicates(list(key))
-    rank = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() if isinstance(c, str) else c for c in order])
+    """One row for each key, the last in ``order``; ties go to the greatest of the other columns."""
+    rest = [f.name for f in rows.schema if f.name not in key and f.name not in order and _orderable(f.dataType)]
+    rank = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() if isinstance(c, str) else c for c in [*order, *rest]] or [F.lit(0)])
     return rows.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")
 
 
@@ -31,7 +43,12 @@ def first_by_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column | s
 def _joined(target: DataFrame, batch: DataFrame, key: Sequence[str], how: str) -> DataFrame:
     t = target.withColumn("_in_target", F.lit(True)).alias("t")
     s = batch.withColumn("_in_batch", F.lit(True)).alias("s")
-    return t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in key], how)
+    return t.join(s, [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key], how)
+
+
+def _lacking(rows: DataFrame, others: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows whose key the other table doesn't have."""
+    return rows.alias("l").join(others.select(*key).alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key], "left_anti")
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: Sequence[str], *, owned: Sequence[str] | None = None, order: Sequence[Column | str] = (), newest_only: str | None = None) -> DataFrame:
@@ -64,13 +81,13 @@ def update_only(target: DataFrame, batch: DataFrame, key: Sequence[str], *, owne
 
 def insert_only(target: DataFrame, batch: DataFrame, key: Sequence[str], *, order: Sequence[Column | str] = ()) -> DataFrame:
     """Append the rows whose key is new."""
-    new = last_by_key(batch, key, order).join(target.select(*key), list(key), "left_anti")
+    new = _lacking(last_by_key(batch, key, order), target, key)
     return target.unionByName(new.select(*[c for c in target.columns if c in new.columns]), allowMissingColumns=True)
 
 
 def enqueue(queue: DataFrame, batch: DataFrame, known: DataFrame, key: Sequence[str], *, values: Sequence[str], done: str = "fetched", order: Sequence[Column | str] = ()) -> DataFrame:
     """Queue the keys that ``known`` lacks: new values win over old where not null, and the entry is open again."""
-    batch = last_by_key(batch, key, order).join(known.select(*key), list(key), "left_anti")
+    batch = _lacking(last_by_key(batch, key, order), known, key)
     rows = _joined(queue, batch, key, "full_outer")
     return rows.select(*[
         F.coalesce(F.col(f"t.{c}"), F.col(f"s.{c}")).alias(c) if c in key
@@ -96,12 +113,12 @@ def mark(target: DataFrame, batch: DataFrame, key: Sequence[str], flag: str, val
 
 def matched_counts(keys: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row: how many of the keys the target has, and lacks."""
-    rows = keys.select(*key).distinct().join(target.select(*key).distinct().withColumn("_in_target", F.lit(True)), list(key), "left")
+    rows = _joined(target.select(*key).distinct(), keys.select(*key).distinct(), key, "right")
     return rows.agg(F.count_if("_in_target").alias("matched"), F.count_if(F.col("_in_target").isNull()).alias("missing"))
 
 
 def delete_where_in(target: DataFrame, parents: DataFrame, key: Sequence[str]) -> DataFrame:
-    return target.join(parents.select(*key).distinct(), list(key), "left_anti")
+    return _lacking(target, parents, key)
 
 
 def replace_children(target: DataFrame, batch: DataFrame, parent: Sequence[str]) -> DataFrame:

@@ -34,9 +34,9 @@ def naive_utc(value: Column) -> Column:
 
 def primary_metric(metrics: Column) -> Column:
     """The primary metric of the national database, else any primary one, else the first."""
-    primary = F.filter(metrics, lambda m: m["type"] == "Primary")
-    own = F.filter(primary, lambda m: F.contains(F.lower(F.coalesce(m["source"], F.lit(""))), F.lit("nvd")))
-    return F.coalesce(F.get(own, 0), F.get(primary, 0), F.get(metrics, 0))
+    primary = lambda m: m["type"] == "Primary"
+    own = lambda m: primary(m) & F.contains(F.lower(F.coalesce(m["source"], F.lit(""))), F.lit("nvd"))
+    return F.coalesce(F.get(F.filter(metrics, own), 0), F.get(F.filter(metrics, primary), 0), F.get(metrics, 0))
 
 
 def v2_severity(score: Column) -> Column:
@@ -47,31 +47,32 @@ _FLAT = (("attack_vector", "attackVector", 20), ("attack_complexity", "attackCom
 _V2 = {"attack_vector": "accessVector", "attack_complexity": "accessComplexity", "privileges_required": "authentication", "user_interaction": None, "scope": None}
 
 
-def _flat_cvss(metric: Column, version: str) -> Column:
-    data = metric["cvssData"]
-    old = version == "2.0"
+def _flat_cvss(picked: Column) -> Column:
+    """The scores of a struct of a version and its metric."""
+    metric, data = picked["metric"], picked["metric"]["cvssData"]
+    old = picked["version"] == "2.0"
 
     def part(name: str, source: str, width: int) -> Column:
-        source = _V2.get(name, source) if old else source
-        return (F.lit(None).cast("string") if source is None else clip(data[source], width)).alias(name)
-
-    return F.when(
-        data.isNotNull(),
-        F.struct(
-            F.lit(version).alias("cvss_version"),
-            data["baseScore"].alias("cvss_score"),
-            (v2_severity(data["baseScore"]) if old else clip(data["baseSeverity"], 10)).alias("cvss_severity"),
-            *[part(*x) for x in _FLAT],
-            metric["exploitabilityScore"].alias("exploitability_score"),
-            metric["impactScore"].alias("impact_score"),
-        ),
+        other = _V2.get(name, source)
+        value = data[source] if other == source else F.when(~old, data[source]).otherwise(F.lit(None).cast("string") if other is None else data[other])
+        return clip(value, width).alias(name)
+
+    return F.struct(
+        picked["version"].alias("cvss_version"),
+        data["baseScore"].alias("cvss_score"),
+        F.when(old, v2_severity(data["baseScore"])).otherwise(clip(data["baseSeverity"], 10)).alias("cvss_severity"),
+        *[part(*x) for x in _FLAT],
+        metric["exploitabilityScore"].alias("exploitability_score"),
+        metric["impactScore"].alias("impact_score"),
     )
 
 
 def cvss(metrics: Column) -> Column:
     """Flat scores of the first version, of 3.1, 4.0, 3.0 and 2.0, whose picked metric has data."""
     order = (("cvssMetricV31", "3.1"), ("cvssMetricV40", "4.0"), ("cvssMetricV30", "3.0"), ("cvssMetricV2", "2.0"))
-    return F.coalesce(*[_flat_cvss(primary_metric(metrics[name]), version) for name, version in order])
+    picked = F.array(*[F.struct(F.lit(version).alias("version"), primary_metric(metrics[name]).alias("metric")) for name, version in order])
+    # a lambda's variable is computed once, a column each time that it is named
+    return F.get(F.transform(F.filter(picked, lambda p: p["metric"]["cvssData"].isNotNull()), _flat_cvss), 0)
 
 
 def weakness_ids(weaknesses: Column) -> Column:

@@ -69,15 +69,33 @@ def clear(table: DataFrame, synced: DataFrame, key: Sequence[str], flag: str, va
     return merge.mark(table, synced, key, flag, value)
 
 
-def load_stream(spark: SparkSession, source: str, schema: StructType, target: str, empty: DataFrame, key: Sequence[str], checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d, *, owned: Sequence[str] | None = None, order: Sequence[Column | str] = (), files_per_batch: int | None = None):
+def load_stream(spark: SparkSession, source: str, schema: StructType, target: str, empty: DataFrame, key: Sequence[str], checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d, *, order: Sequence[Column | str], owned: Sequence[str] | None = None, files_per_batch: int | None = None, counters: Callable[[dict], None] = lambda c: None):
     """Upsert everything that has landed in a folder, then stop.
 
     The stream's checkpoint is the watermark: a file is taken once. The upsert
-    is by key, so a batch that is repeated after a failure changes nothing.
+    is by key and rewrites only the buckets that a batch touches; ``order``
+    says which of a batch's rows with one key is the last. So a batch that is
+    repeated after a failure changes nothing. ``counters`` gets a dictionary for
+    each batch: its number, lines read, rows that ``transform`` made of them,
+    rejected ones (a null in the key), keys updated and inserted.
     """
-
-    def batch(rows: DataFrame, _: int) -> None:
-        tables.change(spark, target, empty, lambda t: merge.upsert(t, transform(rows), key, owned=owned, order=order))
+    if not order:
+        raise ValueError("an order must say which row of a key is the last")
+
+    def batch(lines: DataFrame, number: int) -> None:
+        lines = lines.persist()
+        made = transform(lines).persist()
+        try:
+            usable = made.where(" and ".join(f"`{k}` is not null" for k in key))
+            last = merge.last_by_key(usable, key, order)
+            before = tables.read(spark, target) if tables.exists(spark, target) else empty
+            hits = merge.matched_counts(usable, before, key).first()
+            read, rows, good = lines.count(), made.count(), usable.count()
+            tables.change_keys(spark, target, empty, key, last, lambda t, b: merge.upsert(t, b, key, owned=owned))
+            counters({"batch": number, "lines": read, "rows": rows, "rejected": rows - good, "updated": hits["matched"], "inserted": hits["missing"]})
+        finally:
+            made.unpersist()
+            lines.unpersist()
 
     reader = spark.readStream.schema(schema)
     if files_per_batch:

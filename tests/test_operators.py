@@ -31,6 +31,24 @@ def test_upsert_twice_is_upsert_once(spark, target):
     assert {r.k: r.kev for r in once.collect()} == {1: True, 2: None, 3: False, 4: None}
 
 
+def test_null_keys_are_keys(spark):
+    old = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    batch = spark.createDataFrame([(None, "B"), (2, "c"), (None, "A")], "k int, v string")
+    for how in (merge.upsert, merge.insert_only):
+        once = how(old, batch, ["k"])
+        assert _set(how(once, batch, ["k"]).na.fill(-1).na.fill("")) == _set(once.na.fill(-1).na.fill(""))
+    assert {r.v for r in merge.upsert(old, batch, ["k"]).where("k is null").collect()} == {"B"}
+    assert merge.delete_where_in(old, batch, ["k"]).count() == 1
+    assert tuple(merge.matched_counts(batch, old, ["k"]).first()) == (1, 1)
+
+
+def test_rows_of_one_key_are_told_apart_without_an_order(spark):
+    rows = [(1, "a", [1]), (1, "b", [2]), (1, None, [3]), (2, "x", None)]
+    frame = spark.createDataFrame(rows, "k int, v string, w array<int>").withColumn("m", F.create_map(F.lit("a"), F.col("k")))
+    for part in (1, 4):
+        assert sorted((r.k, r.v) for r in merge.last_by_key(frame.repartition(part), ["k"]).collect()) == [(1, "b"), (2, "x")]
+
+
 def test_upsert_of_newer_rows_only(spark):
     old = spark.createDataFrame([(1, 5, "x"), (2, 5, "y")], "k int, at int, v string")
     new = spark.createDataFrame([(1, 4, "stale"), (2, 6, "fresh"), (3, 1, "first")], "k int, at int, v string")
@@ -318,15 +336,22 @@ def test_stream_loads_each_file_once(spark, tmp_path):
     source.mkdir()
     schema = "k INT, v STRING"
     empty = spark.createDataFrame([], schema)
-    load = lambda: incremental.load_stream(spark, str(source), empty.schema, target, empty, ["k"], str(tmp_path / "c"))
+    seen = []
+    load = lambda: incremental.load_stream(spark, str(source), empty.schema, target, empty, ["k"], str(tmp_path / "c"), order=["v"], counters=seen.append)
     (source / "1.json").write_text('{"k": 1, "v": "a"}\n{"k": 2, "v": "b"}')
     load()
-    version = tables._pointer(spark, target)
+    version = tables._numbers(spark, target)
     load()
-    assert tables._pointer(spark, target) == version
-    (source / "2.json").write_text('{"k": 2, "v": "B"}\n{"k": 3, "v": "c"}')
+    assert tables._numbers(spark, target) == version
+    (source / "2.json").write_text('{"k": 2, "v": "B"}\n{"k": 3, "v": "c"}\n{"k": 3, "v": "b"}\n{"v": "no key"}')
     load()
     assert _set(tables.read(spark, target)) == [(1, "a"), (2, "B"), (3, "c")]
+    assert [{k: c[k] for k in ("lines", "rows", "rejected", "updated", "inserted")} for c in seen] == [
+        {"lines": 2, "rows": 2, "rejected": 0, "updated": 0, "inserted": 2},
+        {"lines": 4, "rows": 4, "rejected": 1, "updated": 1, "inserted": 1},
+    ]
+    with pytest.raises(ValueError):
+        incremental.load_stream(spark, str(source), empty.schema, target, empty, ["k"], str(tmp_path / "c"), order=[])
 
 
 # -- answers --------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ import zipfile
 import pytest
 
 from lynceus import schemas
-from lynceus.operators import normalize
+from lynceus.operators import merge, normalize
 from lynceus.sources import feeds, tables
 
 
@@ -172,6 +172,48 @@ def test_versions_and_pointer(spark, tmp_path):
         tables.read(spark, str(tmp_path / "none"))
 
 
+@pytest.mark.parametrize("step", ["after the rows", "before the number", "after the number"])
+def test_a_crash_loses_no_version(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "t")
+    tables.write(spark.range(3), path)
+    tables.write(spark.range(4), path)
+
+    def crash(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, {"after the rows": "_commit", "before the number": "_save", "after the number": "_forget"}[step], crash)
+        with pytest.raises(KeyboardInterrupt):
+            tables.change(spark, path, spark.range(0), lambda t: t.where("id < 1"))
+    if step == "before the number":
+        (tmp_path / "t" / "_versions" / "2.new").write_text("half a fi")
+    assert tables.read(spark, path).count() == (1 if step == "after the number" else 4)
+    tables.change(spark, path, spark.range(0), lambda t: t.unionByName(spark.range(10, 12)))
+    assert tables.read(spark, path).count() == (3 if step == "after the number" else 6)
+    for x in (tmp_path / "t" / "_versions").iterdir():
+        x.unlink()
+    with pytest.raises(RuntimeError):
+        tables.exists(spark, path)
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    path, empty = str(tmp_path / "t"), spark.createDataFrame([], "k long, v string")
+    load = lambda rows, how=lambda t, b: merge.upsert(t, b, ["k"]): tables.change_keys(spark, path, empty, ["k"], spark.createDataFrame(rows, "k long, v string"), how, buckets=16)
+    load([(k, "a") for k in range(200)] + [(None, "n")])
+    before = tables._places(spark, path, 0)
+    load([(5, "b"), (None, "m"), (500, "c")])
+    after = tables._places(spark, path, 1)
+    assert set(after) == set(before) and 0 < sum(after[k] != before[k] for k in after) <= 3
+    assert {r.k: r.v for r in tables.read(spark, path).collect()} == {**{k: "a" for k in range(200)}, 5: "b", None: "m", 500: "c"}
+    load([(k, "x") for k in range(100)], lambda t, b: merge.delete_where_in(t, b, ["k"]))
+    assert tables.read(spark, path).count() == 102
+    load([(7, "back")])
+    used = {x.parent.name + "/" + x.name for x in (tmp_path / "t").glob("v=*/_bucket=*")}
+    assert set(tables._places(spark, path, 3).values()) <= used  # and what nobody needs is gone
+    assert not used - {x for n in (2, 3) for x in tables._places(spark, path, n).values()}
+    assert tables.read(spark, path).schema == empty.schema
+
+
 def test_export_and_schema_evolution(spark, tmp_path):
     tables.export_tsv(spark.createDataFrame([("a", "actor")], "name string, type string"), str(tmp_path / "x"))
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "x")).first().type == "actor"
