@@ -8,12 +8,14 @@ texts that are looked up are each document and each of its lines, so a
 document that consists of a license, and a line that is a license notice, are
 both found; a text that only mentions a license is not. Lines that the canonical
 form drops are looked up in their plain form, so that such a line can be a known
-notice itself ("All rights reserved."); ``ORACLE_SQL`` doesn't do that.
+notice itself ("All rights reserved.").
 
-All of it is built-in expressions on the JVM. The known digests are constants
-of this module and of ``licensetable`` (or a table given in its place) of which the size is checked:
-up to ``BROADCAST_ROWS`` it is broadcast, a larger one is joined by a shuffle of
-digests.
+The canonical form is made on Arrow batches: byte classes by numpy, spellings
+by RE2, each only in texts that hold a string which its pattern can't do
+without. Only ``(id, scope, digest)`` rows leave Python. The known digests are
+constants of this module and of ``licensetable`` (or a table given in its place)
+of which the size is checked: up to ``BROADCAST_ROWS`` it is broadcast, a larger
+one is joined by a shuffle of digests.
 
 Cases. Null or empty text, and a text with no letters or digits: nothing is
 found. Very long text: canonicalised whole. A notice that repeats in a
@@ -24,17 +26,22 @@ Empty tables: no rows. Extra columns: ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import bisect
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynceus.llm import frames, licensetable
+from lynceus.llm import frames, licensetable, textkernel
 
 BROADCAST_ROWS = 100_000
 
-#: Pattern and replacement, in order; ``$1`` is the first group. Classes are
-#: spelled out so that Java and RE2 agree.
+#: Pattern and replacement, in order; ``$1`` is the first group.
 STEPS: tuple[tuple[str, str], ...] = (
     (r"(?m)^[ \t*#/;-]*(copyright|©|\(c\))[^\n]*([0-9]{4}|\(c\)|©|<[^\n]*>|\[[^\n]*\])[^\n]*$", ""),
     (r"(?m)^[ \t*#/;-]*all rights reserved[. \t\r]*$", ""),
@@ -52,6 +59,16 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     (r"\bversion ([0-9])", "v$1"),
 )
 
+#: Strings of which a line that one of the first two steps drops holds one.
+_DROPS = ("copyright", "©", "(c)", "all rights reserved")
+#: For each of ``SPELLINGS``, strings of which a text that it changes holds one.
+_NEEDS = (("licenc",), ("sub licens",), ("non commercial",), ("organis",), ("acknowledgement",), ("favour", "behaviour", "honour"), ("whilst",), ("https",), ("version ",))
+_DROPPED = "|".join(p.removeprefix("(?m)") for p, _ in STEPS[:2])
+#: Letters, digits, line ends and the bytes of longer UTF-8 sequences stay, the rest becomes a space.
+_KEPT = np.full(256, 32, np.uint8)
+for _low, _high in ((0x30, 0x3A), (0x61, 0x7B), (0x80, 0x100), (0x0A, 0x0B)):
+    _KEPT[_low:_high] = np.arange(_low, _high)
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -92,43 +109,96 @@ KNOWN: tuple[tuple[str, str], ...] = (
 )
 
 
-def _chain(value, replace: Callable, pad: Callable):
-    for pattern, new in STEPS:
-        value = replace(value, pattern, new)
-    value = pad(value)
-    for pattern, new in SPELLINGS:
-        value = replace(value, pattern, new)
-    return value
-
-
-def lines_of(text: Column) -> Column:
-    """Canonical form of a text, its lines kept apart."""
-    return _chain(F.lower(text), lambda v, p, n: F.regexp_replace(v, p, n), lambda v: v)
-
-
-def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
-
-
-def canonical(text: Column) -> Column:
-    """The whole canonical text."""
-    return squeeze(lines_of(text))
-
-
-def plain(text: Column) -> Column:
-    """The text in small letters and single spaces, with the lines that the canonical form drops."""
-    return squeeze(F.regexp_replace(F.lower(text), STEPS[-1][0], " "))
+def _holding(texts: pa.Array, strings: tuple[str, ...]) -> np.ndarray:
+    """Rows that hold one of the strings."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    raw = memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]].tobytes()
+    ends = (offsets[1:] - offsets[0]).tolist()
+    found = set()
+    for x in map(str.encode, strings):
+        at = raw.find(x)
+        while at >= 0:
+            row = bisect.bisect_right(ends, at)
+            if at + len(x) <= ends[row]:
+                found.add(row)
+                at = raw.find(x, ends[row])
+            else:  # it only seems so where two texts adjoin
+                at = raw.find(x, at + 1)
+    return np.array(sorted(found), np.int64)
+
+
+def _without_dropped(texts: pa.Array) -> tuple[pa.Array, dict[int, list[bytes]]]:
+    """Small-letter texts with the lines of the first two steps emptied, and those lines by row."""
+    rows = _holding(texts, _DROPS)
+    lines = pc.split_pattern(texts.take(pa.array(rows)), "\n")
+    flat = lines.flatten()
+    some = _holding(flat, _DROPS)
+    gone = some[pc.match_substring_regex(flat.take(pa.array(some)), _DROPPED).to_numpy(zero_copy_only=False)]
+    if not len(gone):
+        return texts, {}
+    mask = np.zeros(len(flat), bool)
+    mask[gone] = True
+    starts = lines.offsets.to_numpy()
+    out: dict[int, list[bytes]] = {}
+    for at, line in zip(rows[np.searchsorted(starts, gone, "right") - 1].tolist(), flat.take(pa.array(gone)).to_pylist()):
+        out.setdefault(at, []).append(line.encode())
+    emptied = pc.binary_join(pa.ListArray.from_arrays(lines.offsets, pc.if_else(pa.array(mask), "", flat)), "\n")
+    return _replaced(texts, rows, emptied), out
+
+
+def _replaced(texts: pa.Array, rows: np.ndarray, new: pa.Array) -> pa.Array:
+    mask = np.zeros(len(texts), bool)
+    mask[rows] = True
+    return pc.replace_with_mask(texts, pa.array(mask), new)
+
+
+def bodies(column) -> Iterator[tuple[int, bytes, list[bytes]]]:
+    """Row, canonical form with its lines kept apart, and dropped lines of every text but the null ones."""
+    valid = textkernel.as_array(column).is_valid().to_numpy(zero_copy_only=False)
+    for row, raw, offsets in textkernel.slices(column):
+        texts, dropped = _without_dropped(pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw.tobytes())))
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1]
+        raw = textkernel.classes(np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: offsets[-1]], _KEPT)
+        kept = raw != 32
+        kept[1:] |= raw[:-1] != 32
+        kept[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        total = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(kept, out=total[1:])
+        texts = pa.StringArray.from_buffers(len(texts), pa.py_buffer(total[offsets]), pa.py_buffer(raw[kept].tobytes()))
+        for (pattern, new), needs in zip(SPELLINGS, _NEEDS):
+            rows = _holding(texts, needs)
+            if len(rows):
+                texts = _replaced(texts, rows, pc.replace_substring_regex(texts.take(pa.array(rows)), pattern, new.replace("$", "\\")))
+        for k, body in enumerate(texts.cast(pa.binary()).to_pylist()):
+            if valid[row + k]:
+                yield row + k, body, dropped.get(k, [])
+
+
+def plain(text: bytes) -> bytes:
+    """A small-letter text in single spaces, with the lines that the canonical form drops."""
+    return b" ".join(text.translate(_KEPT.tobytes()).split())
+
+
+def units(column) -> Iterator[tuple[int, str, bytes]]:
+    """``(row, scope, text)`` of all that is looked up, each once."""
+    for row, body, dropped in bodies(column):
+        lines = [x for x in (line.strip(b" ") for line in body.split(b"\n")) if x]
+        whole = b" ".join(lines) or plain(b"\n".join(dropped))
+        if whole:
+            yield row, "document", whole
+        for line in {*lines, *(plain(x) for x in dropped)}:
+            if line:
+                yield row, "line", line
+
+
+def canonical(text: str) -> bytes:
+    """The whole canonical text; of one that is nothing but lines the form drops, its plain form."""
+    return next((unit for _, scope, unit in units(pa.array([text], pa.string())) if scope == "document"), b"")
 
 
 def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """``license_id, digest`` of the known texts.
-
-    A text that is nothing but a line the canonical form drops is kept with the
-    form that it has without that step.
-    """
-    rows = spark.createDataFrame(list(texts), "license_id string, text string")
-    form = canonical(F.col("text"))
-    return rows.select("license_id", F.sha2(F.when(form == "", plain(F.col("text"))).otherwise(form), 256).alias("digest")).distinct()
+    """``license_id, digest`` of the known texts."""
+    return spark.createDataFrame(sorted({(name, hashlib.sha256(canonical(text)).hexdigest()) for name, text in texts}), "license_id string, digest string")
 
 
 def shipped(spark: SparkSession) -> DataFrame:
@@ -140,43 +210,46 @@ def shipped(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, licenses: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, scope, license_id``: scope is ``document`` or ``line``."""
     licenses = shipped(docs.sparkSession) if licenses is None else frames.pick(licenses, license_id="license_id", digest="digest")
-    text = F.col("text")
-    # only lines that the canonical form drops have another plain form
-    names_holder = F.lower(text).rlike("copyright|©|\\(c\\)|all rights reserved")
-    dropped = F.when(names_holder, F.regexp_extract_all(F.lower(text), F.lit("|".join(p for p, _ in STEPS[:2])), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    narrow = frames.pick(docs, doc_id=id_col, text=text_col).select("doc_id", "text", lines_of(text).alias("body"), dropped.alias("dropped"))
-
-    def units_of(scope: str, unit: Column) -> Column:
-        return F.struct(F.lit(scope).alias("scope"), unit.alias("unit"))
-
-    blank = F.col("body").rlike(r"\A[ \n]*\z")
-    whole = F.array(units_of("document", squeeze(F.col("body"))), units_of("document", F.when(blank, plain(text)).otherwise("")))
-    unit = F.explode(F.concat(whole, F.transform(F.split("body", "\n"), lambda x: units_of("line", F.trim(x))), F.transform("dropped", lambda x: units_of("line", plain(x)))))
-    units = narrow.where("body is not null").select("doc_id", unit.alias("u")).select("doc_id", "u.scope", "u.unit").where("unit <> ''")
-    digests = units.select("doc_id", "scope", F.sha2("unit", 256).alias("digest"))
+    narrow = frames.pick(docs, doc_id=id_col, text=text_col)
+
+    def run(stream):
+        for batch in frames.batches(stream):
+            rows, scopes, digests = [], [], []
+            for row, scope, unit in units(batch.column(1)):
+                rows.append(row)
+                scopes.append(scope)
+                digests.append(hashlib.sha256(unit).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(scopes, pa.string()), pa.array(digests, pa.binary())], names=["doc_id", "scope", "digest"])
+
+    found = narrow.mapInArrow(run, f"doc_id {frames.ddl(narrow, 'doc_id')}, scope string, digest binary")
+    wanted = licenses.select("license_id", F.unhex("digest").alias("digest"))
     small = licenses.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return digests.join(F.broadcast(licenses) if small else licenses, "digest").select("doc_id", "scope", "license_id").distinct()
+    return found.join(F.broadcast(wanted) if small else wanted, "digest").select("doc_id", "scope", "license_id").distinct()
 
 
-def _sql(value: str) -> str:
-    def literal(x: str) -> str:
-        return "'" + x.replace("'", "''") + "'"
+def _oracle() -> str:
+    """The canonical form by regular expressions, one after the other."""
 
-    return _chain(f"lower({value})", lambda v, p, n: f"regexp_replace({v}, {literal(p)}, {literal(n.replace('$', chr(92)))}, 'g')", lambda v: v)
+    def replaced(value: str, pattern: str, new: str) -> str:
+        return "regexp_replace({}, {}, {}, 'g')".format(value, *("'" + x.replace("'", "''") + "'" for x in (pattern, new.replace("$", chr(92)))))
 
+    def body(value: str) -> str:
+        return reduce(lambda v, step: replaced(v, *step), STEPS + SPELLINGS, f"lower({value})")
 
-def _oracle() -> str:
-    values = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN)
+    values = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN + licensetable.NOTICES)
+    digests = ", ".join(f"('{name}', '{digest}')" for name, _, _, digest in licensetable.DIGESTS)
     squeezed = "trim(regexp_replace({}, '[ \\n]+', ' ', 'g'))".format
-    plain = squeezed(f"regexp_replace(lower(text), '{STEPS[-1][0]}', ' ', 'g')")
+    plain = lambda value: squeezed(replaced(f"lower({value})", *STEPS[2]))
+    lines = "|".join(p for p, _ in STEPS[:2])
     return f"""
 WITH given(license_id, text) AS (VALUES {values}),
-form AS (SELECT license_id, {squeezed(_sql('text'))} AS unit, {plain} AS plain FROM given),
-known AS (SELECT DISTINCT license_id, sha256(CASE WHEN unit = '' THEN plain ELSE unit END) AS digest FROM form),
-body AS (SELECT doc_id, {_sql('text')} AS body FROM documents WHERE text IS NOT NULL),
+form AS (SELECT license_id, {squeezed(body('text'))} AS unit, {plain('text')} AS plain FROM given),
+known AS (SELECT license_id, sha256(CASE WHEN unit = '' THEN plain ELSE unit END) AS digest FROM form UNION SELECT * FROM (VALUES {digests})),
+body AS (SELECT doc_id, text, {body('text')} AS body FROM documents WHERE text IS NOT NULL),
 unit AS (
-  SELECT doc_id, 'document' AS scope, {squeezed('body')} AS unit FROM body
+  SELECT doc_id, 'document' AS scope, CASE WHEN {squeezed('body')} = '' THEN {plain('text')} ELSE {squeezed('body')} END AS unit FROM body
   UNION ALL SELECT doc_id, 'line', trim(unnest(string_split(body, chr(10)))) FROM body
+  UNION ALL SELECT doc_id, 'line', {plain('line')} FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{lines}')) AS line FROM body)
 )
 SELECT DISTINCT doc_id, scope, license_id FROM unit JOIN known ON sha256(unit.unit) = digest WHERE unit.unit <> ''
 """
