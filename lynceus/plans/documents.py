@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from lynceus import schemas
 from lynceus.functions import text as T
 from lynceus.operators import evaluate, filters, graph, normalize, search, sections, triplets
+from lynceus.session import shared_folder
 from lynceus.plans.common import CVES, EDGES, NODES, TRIPLETS, query, rows, rows_spread, spread, table
 
 # -- projections ----------------------------------------------------------------------------------
@@ -181,10 +182,32 @@ score AS (SELECT query_id, id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM score WHERE score > 0) WHERE rank <= 50)"""
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The index of the documents, built once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{shared_folder(spark)}/index-{key[0]}-{len(_INDEXES)}"
+        search.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", path)
+        _INDEXES[key] = path
+    return search.Index.read(spark, _INDEXES[key])
+
+
+@query(f"WITH {_BM25} SELECT term, df, round(idf, 9) AS idf FROM df0 JOIN idf USING (term)".replace("$", "$$"))
+def txt_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).terms.withColumn("idf", F.round("idf", 9))
+
+
+@query(f"WITH {_BM25} SELECT term, tf.id, CAST(dl AS INTEGER) AS dl, tf FROM tf JOIN dl USING (id)".replace("$", "$$"))
+def txt_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).postings.drop("bucket")
+
+
 @query(f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM lex WHERE rank <= 10".replace("$", "$$"))
 def txt_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
-    return search.bm25(index, table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), 10).withColumn("score", F.round("score", 6))
+    return search.bm25(_index(spark, sf_dir), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), 10).withColumn("score", F.round("score", 6))
 
 
 _VEC = """
@@ -224,8 +247,7 @@ _NEAR50 = _near_sql(40, 50, "TRUE")
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, labels: tuple[int, ...] = (), alpha: float = 0.4, top_k: int = 10) -> DataFrame:
-    index = search.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
-    lexical = search.bm25(index, table(spark, sf_dir, "benchmark").where("item_id < 40").withColumnRenamed("item_id", "query_id"), 50)
+    lexical = search.bm25(_index(spark, sf_dir), table(spark, sf_dir, "benchmark").where("item_id < 40").withColumnRenamed("item_id", "query_id"), 50)
     asked, pool = _vectors(spark, sf_dir, 40)
     allowed = pool.where(F.col("label").isin(*labels)) if labels else pool
     vector = search.nearest(asked, allowed, 50, id_col="vec_id", vector_col="embedding")

@@ -186,7 +186,7 @@ def test_nearest_in_blocks(spark):
     pool = spark.createDataFrame(rows, "id int, v array<float>")
     asked = pool.select(F.col("id").alias("query_id"), F.col("v").alias("vector")).where("id < 9")
     one = _set(search.nearest(asked, pool, 5, id_col="id", vector_col="v", exclude_self=True).select("query_id", "id", "rank"))
-    many = _set(search.nearest(asked, pool, 5, id_col="id", vector_col="v", exclude_self=True, block=8).select("query_id", "id", "rank"))
+    many = _set(search.nearest(asked, pool, 5, id_col="id", vector_col="v", exclude_self=True, per_pass=4).select("query_id", "id", "rank"))
     assert one == many and all(q != i for q, i, _ in one)
     assert _set(search.similar_pairs(pool, 0.99, id_col="id", vector_col="v").select("a", "b")) == _set(search.similar_pairs(pool, 0.99, id_col="id", vector_col="v", block=8).select("a", "b"))
     with pytest.raises(Exception, match="a vector must have 4 numbers"):
