@@ -70,9 +70,7 @@ def slices(column, lower: bool = True, size: int = SLICE_BYTES) -> Iterator[tupl
     if column.null_count:
         column = pc.fill_null(column, "")
     wide = pa.types.is_large_string(column.type)
-    itemsize = 8 if wide else 4
     offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1] if len(column) and column.buffers()[1] is not None else np.zeros(len(column) + 1, np.int64)
-    del itemsize
     row, n = 0, len(column)
     while row < n:
         stop = int(np.searchsorted(offsets, int(offsets[row]) + size, "right")) - 1
@@ -87,6 +85,11 @@ def slices(column, lower: bool = True, size: int = SLICE_BYTES) -> Iterator[tupl
         row = stop
 
 
+def classes(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table[raw]`` for a table of 256 one-byte entries."""
+    return np.frombuffer(raw.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def runs(flag: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of true bytes that don't cross a document boundary.
 
@@ -119,17 +122,69 @@ def prefix_hash(raw: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span, independent of where it lies."""
+    """64-bit hash of each span, independent of where it lies.
+
+    It tells the words of a text apart for statistics. Texts can be made in which
+    different long words have one hash, so what must be exact uses ``distinct``.
+    """
     _, down = powers(len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, ends, 64-bit hashes, and the first word of each document."""
-    starts, ends, first = runs(WORD_BYTE[raw], offsets)
+    starts, ends, first = runs(classes(raw, WORD_BYTE), offsets)
     return starts, ends, span_hash(prefix_hash(raw), starts, ends), first
 
 
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_LONGEST = 64
+
+
+def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each content, and for every span the number of its content.
+
+    Spans that are told equal are equal byte by byte. Up to seven bytes are
+    their own key; up to ``_LONGEST`` are found by a hash and then compared;
+    longer ones are rare and stand for themselves, as do those that differ from
+    another one with the same hash.
+    """
+    length = ends - starts
+    eight = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))  # the eight bytes from each place on
+    keys = eight[starts] & _LOW[np.minimum(length, 8)]
+    middle, long = np.flatnonzero((length > 7) & (length <= _LONGEST)), np.flatnonzero(length > _LONGEST)
+    words: list[np.ndarray] = []  # of the spans of ``middle``, zero behind their ends
+    for k in range(_LONGEST // 8):
+        left = length[middle] - 8 * k
+        if not len(left) or left.max() <= 0:
+            break
+        some = left > 0
+        word = np.zeros(len(middle), np.uint64)
+        word[some] = eight[starts[middle[some]] + 8 * k] & _LOW[np.minimum(left[some], 8)]
+        words.append(word)
+    keys |= np.minimum(length, 8).astype(np.uint64) << np.uint64(56)
+    h = length[middle].astype(np.uint64)
+    for word in words:
+        h = mix(h ^ word)
+    keys[middle] = h | np.uint64(1 << 63)
+    short = np.flatnonzero(length <= _LONGEST)
+    coded = pc.dictionary_encode(pa.array(keys[short]))
+    code, kinds = coded.indices.to_numpy(), len(coded.dictionary)
+    which = np.empty(len(starts), np.int64)
+    which[short] = code
+    first = np.empty(kinds, np.int64)
+    first[code[::-1]] = short[::-1]
+    place = np.full(len(starts), -1, np.int64)
+    place[middle] = np.arange(len(middle))
+    other = place[first[which[middle]]]
+    differ = length[middle] != length[middle[other]]
+    for word in words:
+        differ |= word != word[other]
+    alone = np.concatenate([middle[differ], long])
+    which[alone] = kinds + np.arange(len(alone))
+    return np.concatenate([first, alone]), which
+
+
 def hash_words(texts: list[str]) -> np.ndarray:
     """The hash that ``words`` gives to each of these lower-case words."""
     out = np.empty(len(texts), np.uint64)

@@ -11,7 +11,8 @@ is linear in its bytes and builds no pieces. Bytes that the vocabulary lacks
 count as entries of their own.
 
 The trie is a double array, so numpy moves all distinct units of a run of
-documents by one byte at a time; a unit's count is looked up for its repeats.
+documents by one byte at a time; a unit's count is looked up for its repeats,
+which are told by their bytes and not by a hash alone.
 
 Cases. Null text: null count. Empty text: 0. Very long texts and very long
 units: read to the end. Null ``doc_id`` and repeated rows: counted like any
@@ -206,8 +207,7 @@ class Automaton:
             if not len(starts):
                 sizes.append(np.zeros(len(offsets) - 1, np.int64))
                 continue
-            keys = textkernel.span_hash(textkernel.prefix_hash(raw), starts, ends)
-            _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+            first, which = textkernel.distinct(raw, starts, ends)
             flat, at = self.pieces(raw, starts[first], ends[first])
             size = np.diff(at)[which]
             ids.append(flat[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[which], size)])
@@ -221,8 +221,7 @@ class Automaton:
             starts, ends, doc = units(raw, offsets)
             if not len(starts):
                 continue
-            keys = textkernel.span_hash(textkernel.prefix_hash(raw), starts, ends)
-            _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+            first, which = textkernel.distinct(raw, starts, ends)
             per_unit = self.count(raw, starts[first], ends[first])
             out[row : row + len(offsets) - 1] = np.bincount(doc, per_unit[which], len(offsets) - 1).astype(np.int64)
         return out
@@ -232,14 +231,16 @@ def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Starts, ends and documents of the units of a run of documents."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = _CLASS[raw]
+    kind = textkernel.classes(raw, _CLASS)
     change = np.ones(len(raw), bool)
-    change[1:] = kind[1:] != kind[:-1]
+    np.not_equal(kind[1:], kind[:-1], out=change[1:])
     change[offsets[:-1][offsets[:-1] < len(raw)]] = True
     starts = np.flatnonzero(change)
     ends = np.append(starts[1:], len(raw))
-    doc = np.searchsorted(offsets, starts, "right") - 1
-    lend = np.flatnonzero((kind[starts[1:]] != 0) & (kind[starts[:-1]] == 0) & (doc[1:] == doc[:-1]) & (raw[ends[:-1] - 1] == 32))
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+    blank = kind[starts] == 0
+    lend = np.flatnonzero(blank[:-1] & ~blank[1:])
+    lend = lend[(doc[lend + 1] == doc[lend]) & (raw[ends[lend] - 1] == 32)]
     starts[lend + 1] -= 1
     ends[lend] -= 1
     some = ends > starts
