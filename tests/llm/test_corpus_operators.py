@@ -73,16 +73,29 @@ def test_sliced_and_wide_arrays_read_alike():
     "text,score",
     [
         ("You are an idiot.", 1.5),
+        ("She is an idiot.", 1.2),
         ("You are not an idiot.", 0.0),
-        ("He said you are an idiot", 0.2),
+        ("He said you are an idiot", 0.0),
         ("I will kill you", 2.0),
+        ("He wants to kill them.", 2.0),
         ("I will not kill you", 0.0),
         ("We kill the process", 0.0),
-        ("take out the trash", 0.5),
-        ("a worthless thing", 1.0),
-        ("idiot! moron!", 2.0),
-        ("idiots like you", 1.5),
-        ("Not here. An idiot", 1.0),
+        ("He said hello, but I will kill you", 2.0),
+        ("She says " + "one word and " * 30 + "I will kill you", 2.0),
+        ("take out the trash", 0.4),
+        ("Their trash was collected", 0.6),
+        ("You are trash", 1.0),
+        ("a worthless thing", 0.6),
+        ("idiot", 0.6),
+        ("idiot! moron!", 1.0),
+        ("stupid, worthless words", 1.2),
+        ("idiots like you", 1.2),
+        ("Not here. An idiot", 0.6),
+        ("The rat is a pig.", 0.8),
+        ("They called him an idiot. " * 6, 0.0),
+        ("pigs. " + "Fine words here. " * 2000 + "rat.", 0.4),
+        ("idiot " + "fine words " * 2000 + "moron", 0.6),
+        ("Some words and a moron here. Fine words. " * 5, 1.0),
         ("", 0.0),
         (None, 0.0),
     ],
@@ -91,11 +104,34 @@ def test_grammar(text, score):
     assert toxicity.Scorer().scores(pa.array([text], pa.string()))[0][0] == pytest.approx(score)
 
 
+def test_clauses_by_a_reading_of_their_own():
+    """Scores against one that walks word by word through the parts."""
+    rng = random.Random(8)
+    words = [w.split()[0] for w in toxicity.LEXICON.values()] + ["fine"] * 12
+    symbol = {w: s for s, ws in toxicity.LEXICON.items() for w in ws.split()}
+    for _ in range(60):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", " ", ". ", "\n"]) for _ in range(rng.randrange(1, 200)))
+        scores, count, total_words = [], 0, len(text.replace(".", " ").split())
+        for sentence in re.split(r"[.\n]", text):
+            read = [symbol.get(w, 0) for w in sentence.split()]
+            for k in range(0, len(read), toxicity.CLAUSE):
+                count += 1
+                states, total = [p.start for p in toxicity.PARTS], 0.0
+                for x in read[k : k + toxicity.CLAUSE]:
+                    for n, part in enumerate(toxicity.PARTS):
+                        states[n], x, weight = part.step(states[n], x)
+                        total += weight
+                if total:
+                    scores.append(total)
+        want = max([0.0, *scores, min(toxicity.THRESHOLD, sum(scores) / min(count, -(-total_words // toxicity.SHORT)) / toxicity.DENSITY) if len(scores) > 1 else 0.0])
+        assert toxicity.Scorer().scores(pa.array([text]))[0][0] == pytest.approx(want)
+
+
 def test_composition_equals_running_the_parts_in_turn():
     rng = random.Random(3)
     grammar = toxicity.Grammar()
     for _ in range(2000):
-        clause = [rng.randrange(9) for _ in range(rng.randrange(1, 12))]
+        clause = [rng.randrange(10) for _ in range(rng.randrange(1, 12))]
         states, total = [p.start for p in toxicity.PARTS], 0.0
         for symbol in clause:
             for k, part in enumerate(toxicity.PARTS):
@@ -192,10 +228,20 @@ def test_passes_don_t_change_what_is_found():
 def test_part_of_an_item_is_a_match_and_less_is_not(spark, bench):
     words = BENCH[0][1].split()
     rows = [(1, "x " + " ".join(words[2:15]) + " y"), (2, " ".join(words[:12])), (3, "One, TWO; three\nfour five six seven eight nine ten eleven twelve thirteen!"), (4, "a short item here"), (5, "a shorter item"), (6, None)]
-    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    assert found == {(1, 1), (3, 1), (4, 2)}
-    kept = {r.doc_id for r in decontaminate.remove(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    assert kept == {2, 5, 6}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for per_pass in (decontaminate.PATTERNS_PER_PASS, 5):
+        found = {(r.doc_id, r.item_id) for r in decontaminate.matches(frame, bench, least_words=2, per_pass=per_pass).collect()}
+        assert found == {(1, 1), (3, 1), (4, 2)}
+        kept = {r.doc_id for r in decontaminate.remove(frame, bench, least_words=2, per_pass=per_pass).collect()}
+        assert kept == {2, 5, 6}
+
+
+def test_items_of_a_word_or_two_convict_nobody(spark):
+    bench = spark.createDataFrame([(1, "Paris"), (2, "The capital of France"), (3, "what is the capital of france")], "item_id smallint, text string")
+    rows = spark.createDataFrame([(1, "We went to Paris."), (2, "Paris is the capital of France."), (3, "So: what is the capital of France?")], "doc_id long, text string")
+    found = decontaminate.matches(rows, bench)
+    assert [tuple(r) for r in found.collect()] == [(3, 3, 1)] and dict(found.dtypes)["item_id"] == "smallint"
+    assert {r.doc_id for r in decontaminate.remove(rows, bench).collect()} == {1, 2}
 
 
 # -- 4 quality ------------------------------------------------------------------------------------
@@ -309,8 +355,47 @@ def test_damaged_blocks_are_noticed():
     for broken in (coded[:-3], coded[:60] + bytes([coded[60] ^ 4]) + coded[61:], b"no" + coded[2:]):
         with pytest.raises(rangecoder.CorruptBlock):
             rangecoder.decode([broken])
-    with pytest.raises(ValueError):
-        rangecoder.encode([np.array([70_000])])
+    for wrong in (np.array([rangecoder.MAX_IDS]), np.array([-1]), np.zeros(rangecoder.BLOCK + 1, int)):
+        with pytest.raises(ValueError):
+            rangecoder.encode([wrong])
+
+
+def test_no_damage_gives_other_ids():
+    rng = random.Random(2)
+    ids = np.array([rng.choice([3, 500, 70_000, rng.randrange(1 << 24)]) for _ in range(300)])
+    coded = rangecoder.encode([ids])[0]
+    for at in [*range(40), *rng.sample(range(40, len(coded)), 60)]:
+        for bit in (0, 3, 7):
+            broken = coded[:at] + bytes([coded[at] ^ 1 << bit]) + coded[at + 1 :]
+            try:
+                assert rangecoder.decode([broken])[0].tolist() == ids.tolist()  # bits that round the last digits up
+            except rangecoder.CorruptBlock:
+                continue
+            assert at >= len(coded) - 8 or at == 16  # or more bits for the prior than were needed, for which the ids agree
+    with pytest.raises(rangecoder.CorruptBlock):
+        rangecoder.decode([coded[:4] + (1 << 31).to_bytes(4, "little") + coded[8:]])
+
+
+@pytest.mark.parametrize("n", [64, 128, 192])
+def test_earlier_smaller_ranks_by_counting(n):
+    rng = np.random.default_rng(n)
+    rank = np.stack([rng.permutation(n) for _ in range(5)])
+    assert rangecoder._below(rank).tolist() == [[int((r[:i] < r[i]).sum()) for i in range(n)] for r in rank]
+
+
+def test_ids_of_large_vocabularies():
+    rng = np.random.default_rng(1)
+    blocks = [rng.integers(0, 1 << b, 200) for b in range(1, 25)] + [np.array([(1 << 24) - 1]), np.arange(200) + (1 << 23)]
+    assert all((a == b).all() for a, b in zip(blocks, rangecoder.decode(rangecoder.encode(blocks))))
+
+
+def test_documents_come_back_from_shuffled_files(spark, odd, docs, automaton, tmp_path):
+    for k, table in enumerate((odd, docs)):
+        rangecoder.write(table.repartition(3)).repartition(5).write.parquet(f"{tmp_path}/{k}")
+        back = Counter((r.doc_id, tuple(r.ids)) for r in rangecoder.read(spark.read.parquet(f"{tmp_path}/{k}")).collect())
+        rows = frames.pick(table, doc_id="doc_id", text="text").collect()
+        flat, at = automaton.encode_texts(pa.array([r.text for r in rows], pa.string()))
+        assert back == Counter((r.doc_id, tuple(flat[at[n] : at[n + 1]].tolist())) for n, r in enumerate(rows))
 
 
 def test_documents_come_back_from_their_blocks(spark, odd, docs, automaton):
@@ -339,6 +424,12 @@ def test_columns_of_ids(spark):
     assert [r.n_tokens for r in found] == [4096, 4096, 811]
     assert np.concatenate(rangecoder.decode([bytes(r.block) for r in found])).tolist() == [5, 6, 7] + [9] * 9000
     assert [list(zip(r.doc_ids, r.doc_tokens)) for r in found][0] == [(1, 3), (2, 0), (3, 0), (4, 4093)]
+    assert [(r.part, r.block_number, r.first_document, r.doc_offsets) for r in found] == [(0, 0, 0, [0, 0, 0, 0]), (0, 1, 3, [4093]), (0, 2, 3, [8189])]
+
+
+def test_nulls_among_ids_are_left_out(spark):
+    rows = spark.createDataFrame([(1, [None, 5, None]), (2, None), (3, [None]), (4, [6])], "doc_id int, ids array<long>").coalesce(1)
+    assert {(r.doc_id, tuple(r.ids)) for r in rangecoder.read(rangecoder.write_ids(rows)).collect()} == {(1, (5,)), (2, ()), (3, ()), (4, (6,))}
 
 
 # -- 7 tokens -------------------------------------------------------------------------------------
@@ -368,6 +459,35 @@ def test_counts_and_pieces_are_those_of_greedy_matching(automaton):
     assert [[vocabulary[i] for i in ids[at[k] : at[k + 1]].tolist()] for k in range(len(texts))] == want
 
 
+def _thue_morse(n):
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 16, 63, 64, 65, 1024, 2048])
+def test_units_that_hash_alike_are_told_apart(automaton, n):
+    one = _thue_morse(n)
+    two = one.translate(str.maketrans("ab", "ba"))
+    texts = pa.array([one, two, f"{two} {one} {two}"])
+    ids, at = automaton.encode_texts(texts)
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(3)] == [automaton.encode_texts(texts.slice(k, 1))[0].tolist() for k in range(3)]
+    assert automaton.count_texts(texts).tolist() == np.diff(at).tolist()
+
+
+def test_distinct_spans_are_those_of_their_bytes(monkeypatch):
+    rng = random.Random(3)
+    for worst in (False, True):
+        if worst:  # a hash that tells nothing
+            monkeypatch.setattr(textkernel, "mix", np.zeros_like)
+        for _ in range(20):
+            spans = [bytes(rng.choice(b"ab") for _ in range(rng.choice([1, 2, 7, 8, 9, 30, 64, 65, 90]))) for _ in range(60)]
+            spans += rng.choices(spans, k=60)
+            raw = np.frombuffer(b"".join(spans), np.uint8)
+            ends = np.cumsum([len(x) for x in spans])
+            first, which = textkernel.distinct(raw, ends - [len(x) for x in spans], ends)
+            assert [spans[k] for k in first[which]] == spans
+            assert worst or len(first) == len({x for x in spans if len(x) <= 64}) + sum(len(x) > 64 for x in spans)
+
+
 def test_small_vocabularies_fall_back_to_bytes():
     a = tokens.Automaton.of([b"ab", b"abcd", b"bc"])
     assert a.count_texts(pa.array(["abc", "abcd", "abcab", "zz", None])).tolist() == [2, 1, 3, 2, 0]
@@ -421,6 +541,21 @@ def test_times_come_from_granules():
     assert vorbis[11] == pytest.approx(vorbis[6] * 1024 / 44100)
 
 
+def _one_page(packet, granule=0):
+    writer = ogg.Writer(7)
+    return b"".join(writer.packet(packet, granule)) + writer.page(ogg.LAST)
+
+
+def test_headers_of_any_value_are_taken(spark):
+    vorbis = b"\x01vorbis" + (0).to_bytes(4, "little") + b"\xff" + (0xFFFFFFFF).to_bytes(4, "little") + bytes(14)
+    speex = b"Speex   " + bytes(28) + (0xFFFFFFFF).to_bytes(4, "little") + bytes(8) + (0xFFFFFFFF).to_bytes(4, "little") + bytes(28)
+    rows = [(1, vorbis), (2, speex), (3, b"\x7fFLAC" + b"\xff" * 25), (4, b"\x7fFLAC" + b"\xff" * 26), (5, b"OpusHead")]
+    found = {r.doc_id: r for r in ogg.streams(spark.createDataFrame([(k, _one_page(x, 1 << 62)) for k, x in rows], "doc_id long, media binary")).collect()}
+    assert (found[1].rate, found[1].channels) == (0xFFFFFFFF, 255)
+    assert (found[2].rate, found[2].channels) == (0xFFFFFFFF, 0xFFFFFFFF)
+    assert [found[k].codec for k in (3, 4, 5)] == ["unknown", "flac", "unknown"] and found[4].rate == 0xFFFFF
+
+
 def test_values_that_hold_no_media(spark):
     rows = spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(b"not media"))], "doc_id long, media binary")
     assert sorted((r.doc_id, r.serial, r.skipped_bytes) for r in ogg.streams(rows).collect()) == [(2, None, 0), (3, None, 9)]
@@ -500,6 +635,13 @@ def test_every_piece_has_a_place_of_its_own(spark, docs):
         assert bins <= 1.05 * sum(want.values()) / capacity + 1
 
 
+def test_packing_in_many_salts_and_full_pieces(spark):
+    lengths = {k: (k * 37) % 90 if k % 3 else 50 for k in range(600)} | {600: 320, 601: 64, 602: 128, 603: 0}
+    rows = packing.pack_lengths(spark.createDataFrame(list(lengths.items()), "doc_id long, n_tokens long").repartition(5), 64, salt_rows=7).collect()
+    bins = _check_packing(rows, 64, Counter(lengths))
+    assert bins == len({r.bin_id for r in rows} - {None}) == 1 + max(r.bin_id or 0 for r in rows)
+
+
 def test_packing_of_repeats_nulls_and_nothing(spark, odd, none):
     rows = packing.pack(odd).collect()
     want = Counter()
