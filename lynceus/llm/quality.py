@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lynceus.llm import frames, textkernel
@@ -181,8 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: s
             x = features(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.float32).tobytes()[i * x.shape[1] * 4 : (i + 1) * x.shape[1] * 4] for i in range(len(x))), batch.column(1)], names=["x", "y"])
 
-    # the sample is bounded, so it may be broadcast
-    rows = narrow.join(F.broadcast(chosen), "id").select("text", F.col("y").cast("int").alias("y")).mapInArrow(run, "x binary, y int").collect()
+    # the sample is bounded, so it may be broadcast; of texts with one id one is taken
+    first = Window.partitionBy("id", "y").orderBy(F.xxhash64("text"))
+    rows = narrow.join(F.broadcast(chosen.distinct()), "id").withColumn("_n", F.row_number().over(first)).where("_n = 1").select("text", F.col("y").cast("int").alias("y")).mapInArrow(run, "x binary, y int").collect()
     rows.sort(key=lambda r: (bytes(r[0]), r[1]))
     x = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.float32).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r[1] > 0 for r in rows], float))
