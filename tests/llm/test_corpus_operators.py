@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lynceus.llm import decontaminate, frames, language, licenses, licensetable, ogg, packing, quality, queries, rangecoder, simhash, textkernel, tokens, toxicity
 
@@ -199,6 +200,30 @@ def test_languages_of_held_out_documents(spark, docs):
     assert sum(r.accepted for r in rows) >= 0.95 * len(rows)
 
 
+def test_a_language_that_was_not_learned_is_rejected(spark, sf_dir):
+    docs = frames.read(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")
+    for out in ("de", "fr"):
+        profiles = language.train(docs.where(f"lang <> '{out}'"))
+        found = language.identify(docs, profiles).join(docs.select("doc_id", "lang"), "doc_id").groupBy((F.col("lang") == out).alias("foreign")).agg(F.avg(F.col("accepted").cast("int")).alias("share")).collect()
+        share = {r.foreign: r.share for r in found}
+        assert share[True] <= 0.1 and share[False] >= 0.97
+
+
+def test_every_language_has_its_share_of_the_sample(spark):
+    rows = [(k, f"uno dos tres palabra{k % 50} cuatro", "es") for k in range(60)] + [(100 + k, f"one two three word{k % 50} four", "en") for k in range(3000)] + [(100, "other text with the same id", "en")] * 500
+    profiles = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=80)
+    names, _, _ = profiles.judge(pa.array(["uno palabra cuatro", "two word four"]), [None, None])
+    assert profiles.names == ["en", "es"] and names == ["es", "en"]
+
+
+def test_floors_lie_between_foreign_and_own():
+    rng = np.random.default_rng(0)
+    own, foreign, n = rng.uniform(0.5, 0.9, 1000), rng.uniform(0.1, 0.3, 1000), np.full(1000, 500)
+    assert language.floors(own, foreign, n)[:2] == (language.LEAST_COSINE,) * 2 and 0.29 < language.floors(own, foreign, n)[2] < 0.3
+    assert language.floors(own - 0.4, foreign, n)[2] == pytest.approx(max(language.LEAST_COSINE, np.quantile(own - 0.4, language.OWN)))
+    assert language.floors(own, np.full(1000, -np.inf), n) == (language.LEAST_COSINE,) * 3  # a single language
+
+
 def test_texts_without_a_language_are_rejected(spark, odd, docs):
     rows = {(r.doc_id, r.language is None): r.accepted for r in language.identify(odd, language.train(docs)).collect()}
     assert rows[(2, True)] is rows[(3, True)] is rows[(5, True)] is False

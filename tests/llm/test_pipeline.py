@@ -54,12 +54,13 @@ def test_language_by_explicit_cosines(written):
     space = language.Space()
     want = set()
     for r in before.collect():
-        v = space.bundle(pa.array([r.text]))[0].astype(float)
+        vectors, trigrams = space.counted(pa.array([r.text]))
+        v = vectors[0].astype(float)
         if not v.any():
             continue
         cosine = {n: float(v @ p) / np.linalg.norm(v) / np.linalg.norm(p) for n, p in zip(profiles.names, profiles.prototypes.astype(float))}
         best = max(cosine.values())
-        if best >= language.LEAST_COSINE and best - cosine.get(r.lang, best) <= language.MARGIN:
+        if best >= profiles.floors[sum(int(trigrams[0]) >= x for x in language.LENGTHS)] and best - cosine.get(r.lang, best) <= language.MARGIN:
             want.add(r.doc_id)
     assert {r.doc_id for r in after.collect()} == want
 
