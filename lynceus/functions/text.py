@@ -139,3 +139,46 @@ def json_array(text: Column, ddl: str) -> Column:
 def slash_variants(name: Column) -> Column:
     """``A/B`` to its parts, trimmed, and the whole."""
     return F.array_distinct(F.filter(F.transform(F.concat(F.array(name), F.split(name, "/")), lambda p: F.lower(F.trim(p))), lambda p: p != ""))
+
+
+DOCUMENT_TYPES = ("CSA", "JOINT_CSA", "STOPRANSOMWARE", "MAR", "ANALYSIS_REPORT", "IR_LESSONS")
+
+
+def wanted_types(question: Column, chosen: Column | None = None) -> Column:
+    """Document types to search for a question, each once and in order; none of them is no filter.
+
+    ``chosen`` is what a classifier said; types that don't exist are dropped.
+    Without one the question's words decide.
+    """
+    if chosen is not None:
+        return F.array_sort(F.array_distinct(F.filter(F.coalesce(chosen, F.array().cast("array<string>")), lambda t: t.isin(*DOCUMENT_TYPES))))
+    words = (("MAR", r"(?i)malware analysis|\bMAR\b|malware sample"), ("STOPRANSOMWARE", r"(?i)ransomware"), ("ANALYSIS_REPORT", r"(?i)analysis report"), ("IR_LESSONS", r"(?i)lessons? learned|red team"), ("JOINT_CSA", r"(?i)joint advisory"))
+    named = F.array(*[F.when(F.coalesce(question, F.lit("")).rlike(p), t) for t, p in words])
+    return F.array_sort(F.filter(named, lambda t: t.isNotNull()))
+
+
+#: Labels of a node that has several, the telling one first.
+LABEL_ORDER = ("CVE", "Technique", "CWE", "Tactic", "Actor", "Malware", "Campaign", "Other")
+
+
+def main_label(labels: Column) -> Column:
+    """The first of ``LABEL_ORDER`` that is among the labels, else the first label, else ``Node``."""
+    known = F.filter(F.array(*[F.lit(x) for x in LABEL_ORDER]), lambda x: F.array_contains(labels, x))
+    return F.coalesce(F.get(known, 0), F.get(labels, 0), F.lit("Node"))
+
+
+def node_id(labels: Column, ident: Column, name: Column) -> Column:
+    """``label:id``; a named thing without an id goes by its name, any other by ``_anon``."""
+    label, blank = main_label(labels), lambda c: F.nullif(F.trim(c), F.lit(""))
+    own = F.coalesce(blank(ident), F.when(label.isin("Actor", "Other", "Malware", "Campaign"), blank(name)), F.lit("_anon"))
+    return F.concat(label, F.lit(":"), own)
+
+
+def focus(nodes: Column) -> Column:
+    """Of a path's nodes (with ``labels``) the first vulnerability, else the first node."""
+    return F.coalesce(F.get(F.filter(nodes, lambda n: main_label(n["labels"]) == "CVE"), 0), F.get(nodes, 0))
+
+
+def json_row(*columns: str) -> Column:
+    """Columns as a JSON object, nulls included, dates and times as ISO text."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"})

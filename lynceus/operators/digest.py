@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.operators.filters import added_within, in_window, not_rejected, optional_since
-from lynceus.operators.merge import first_by_key
+from lynceus.operators.merge import first_by_key, insert_only
 
 REASONS = {1: "KEV + known ransomware use", 2: "KEV added this week", 3: "public exploit reference + CVSS >= 9", 4: "CRITICAL severity with HIGH confidentiality impact", 5: "modified in window"}
 
@@ -36,7 +36,7 @@ def tier(start: str, end: str) -> Column:
     )
 
 
-def _with_reason(rows: DataFrame) -> DataFrame:
+def with_reason(rows: DataFrame) -> DataFrame:
     reasons = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
     return rows.withColumn("tier_reason", F.element_at(reasons, F.col("tier")))
 
@@ -48,14 +48,14 @@ def _down(*columns: str) -> list[Column]:
 def top(cves: DataFrame, start: str, end: str, *, max_tier: int = 4, limit: int = 10, ingested_after: str | None = None) -> DataFrame:
     """The most dangerous rows of the window; ties by id."""
     rows = window_rows(cves, start, end, ingested_after).withColumn("tier", tier(start, end)).where(F.col("tier") <= max_tier)
-    return _with_reason(rows.orderBy("tier", *_down("kev_date_added", "cvss_score", "exploitability_score", "impact_score", "last_modified"), "cve_id").limit(limit))
+    return with_reason(rows.orderBy("tier", *_down("kev_date_added", "cvss_score", "exploitability_score", "impact_score", "last_modified"), "cve_id").limit(limit))
 
 
 def newly_added(cves: DataFrame, start: str, end: str, *, limit: int = 5, ingested_after: str | None = None) -> DataFrame:
     """Rows that joined the exploited list in the window, those of ransomware first; all of tier 2."""
     rows = cves.where(not_rejected() & optional_since("ingested_at", ingested_after) & added_within(start, end)).withColumn("tier", F.lit(2))
     ransomware = F.when(F.col("kev_ransomware_use") == "Known", 0).otherwise(1)
-    return _with_reason(rows.orderBy(*_down("kev_date_added"), ransomware, *_down("cvss_score", "exploitability_score", "impact_score"), "cve_id").limit(limit))
+    return with_reason(rows.orderBy(*_down("kev_date_added"), ransomware, *_down("cvss_score", "exploitability_score", "impact_score"), "cve_id").limit(limit))
 
 
 def summary(cves: DataFrame, start: str, end: str, ingested_after: str | None = None) -> DataFrame:
@@ -147,3 +147,18 @@ def joined_text(chunks: DataFrame, parent: str, text: str, order: str, separator
     """Texts of each parent in order, as one string; null texts are left out."""
     rows = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(order, text))))
     return chunks.groupBy(parent).agg(F.array_join(F.transform(rows, lambda r: r[text]), separator).alias("text"))
+
+
+def log_usage(log: DataFrame, calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """The log with a batch of calls appended at their estimated cost; a call that is logged already is left out."""
+    return insert_only(log, estimated_cost(calls, prices), ["log_id"])
+
+
+def run_usage(evidence: DataFrame, synthesis: DataFrame, run: str = "run_id") -> DataFrame:
+    """Calls, tokens and cost of each run: over its pieces of evidence, and the one call that wrote the text.
+
+    Both have ``run, calls, input_tokens, output_tokens, cost_usd``; a synthesis that used no tokens is no call.
+    """
+    names = ("calls", "input_tokens", "output_tokens", "cost_usd")
+    written = synthesis.select(run, F.when(F.coalesce("input_tokens", F.lit(0)) > 0, 1).otherwise(0).alias("calls"), *names[1:])
+    return evidence.select(run, *names).unionByName(written).groupBy(run).agg(*[F.sum(F.coalesce(n, F.lit(0))).alias(n) for n in names])

@@ -55,7 +55,7 @@ def running_until(rows: DataFrame, amount: str, target: float, order: str, *part
 
 def quota_sample(rows: DataFrame, stratum: str, quota: int, key: str, seed: int = 0) -> DataFrame:
     """At most ``quota`` rows of each stratum, chosen by a hash of key and seed: the same ones every time."""
-    order = F.xxhash64(F.col(key), F.lit(seed))
+    order = F.sha2(F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string")), 256)
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy(order, key))).where(F.col("_n") <= quota).drop("_n")
 
 

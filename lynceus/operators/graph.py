@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lynceus.operators import merge
+from lynceus.session import shared_folder
+
 MAX_HOPS, MAX_PATHS = 8, 25
 
 
@@ -36,6 +39,26 @@ def find_actor(nodes: DataFrame, value: str) -> DataFrame:
     return nodes.where((F.col("label") == "Actor") & (same[0] | same[1] | same[2] | same[3])).orderBy("key").limit(1)
 
 
+def exists(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``label, key, n``: how many nodes each wanted label and key has."""
+    found = nodes.groupBy("label", "key").agg(F.count("*").alias("_n"))
+    return wanted.select("label", "key").distinct().join(found, ["label", "key"], "left").select("label", "key", F.coalesce("_n", F.lit(0)).alias("n"))
+
+
+def path_counts(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``start_key, paths, exploited_paths, nodes``: paths of each start, those that meet a vulnerability known to be exploited, distinct nodes on them."""
+    ends = edges.select("edge_id", F.explode(F.array(F.struct(F.col("src_label").alias("label"), F.col("src_key").alias("key")), F.struct(F.col("dst_label").alias("label"), F.col("dst_key").alias("key")))).alias("node"))
+    hot = nodes.where("label = 'CVE' and is_kev").select("label", "key").distinct().withColumn("_hot", F.lit(True))
+    numbered = paths.select("start_key", F.concat_ws("|", "edge_ids").alias("path"), F.explode("edge_ids").alias("edge_id"))
+    met = numbered.join(ends, "edge_id").select("start_key", "path", "node.label", "node.key").join(hot, ["label", "key"], "left")
+    return met.groupBy("start_key").agg(F.countDistinct("path").alias("paths"), F.countDistinct(F.when(F.col("_hot"), F.col("path"))).alias("exploited_paths"), F.countDistinct("label", "key").alias("nodes"))
+
+
+def upsert_nodes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Nodes after a batch ``label, key`` and properties: the batch's properties win, others are left alone."""
+    return merge.upsert(nodes, rows, ["label", "key"])
+
+
 def expand(start: DataFrame, edges: DataFrame, rel: str) -> DataFrame:
     """``start_key, dst_label, dst_key``: one typed hop."""
     s = start.select(F.col("label").alias("src_label"), F.col("key").alias("src_key"))
@@ -160,14 +183,22 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.unionByName(back).groupBy("scope", "key").agg(F.count("*").alias("degree"), F.sum("out").alias("out_degree"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+SCOPE_EDGES = 200_000
+
+
+def components(edges: DataFrame, scope_edges: int = SCOPE_EDGES) -> DataFrame:
     """``scope, key, component``: connected components within each scope; a component is named by its least key.
 
-    A scope is a document's own small graph, so its edges are in one group and
-    union-find runs there; scopes are independent of each other.
+    Scopes are independent. One of up to ``scope_edges`` edges, as a document's
+    own graph is, is a group on which union-find runs; the larger ones are
+    labelled together in rounds of joins.
     """
     kind = edges.schema["src_key"].dataType.simpleString()
     scope_kind = edges.schema["advisory_id"].dataType.simpleString()
+    narrow = edges.select("advisory_id", "src_key", "dst_key")
+    sizes = narrow.groupBy("advisory_id").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > scope_edges).select(F.col("advisory_id").alias("_large"))
+    is_large = narrow["advisory_id"].eqNullSafe(large["_large"])
 
     def run(key, frame):
         import pandas as pd
@@ -187,7 +218,31 @@ def components(edges: DataFrame) -> DataFrame:
         keys = sorted(parent)
         return pd.DataFrame({"scope": [key[0]] * len(keys), "key": keys, "component": [root(k) for k in keys]})
 
-    return edges.select("advisory_id", "src_key", "dst_key").groupBy("advisory_id").applyInPandas(run, f"scope {scope_kind}, key {kind}, component {kind}")
+    small = narrow.join(large, is_large, "left_anti").groupBy("advisory_id").applyInPandas(run, f"scope {scope_kind}, key {kind}, component {kind}")
+    return small if large.isEmpty() else small.unionByName(_rounds(narrow.join(large, is_large, "left_semi")))
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    """Components by large and small stars in turn: the number of rounds grows with the logarithm of the nodes."""
+    spark = edges.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    scope = F.coalesce(F.to_json(F.struct("advisory_id")), F.lit("")).alias("s")  # null is a scope
+    both = edges.select("advisory_id", scope, F.greatest("src_key", "dst_key").alias("a"), F.least("src_key", "dst_key").alias("b"))
+    names = both.select("s", "advisory_id").distinct()
+    state = both.where("a <> b").select("s", "a", "b").distinct().checkpoint()
+    while True:
+        around = state.unionByName(state.select("s", F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("s", "a").agg(F.min("b").alias("low"), F.collect_set("b").alias("near"))
+        star = around.select("s", "a", F.least("low", "a").alias("m"), F.explode("near").alias("x")).where("x > a and x <> m").select("s", F.col("x").alias("a"), F.col("m").alias("b"))
+        down = star.groupBy("s", "a").agg(F.min("b").alias("low"), F.collect_set("b").alias("near"))
+        after = down.select("s", "a", F.col("low").alias("b")).unionByName(down.select("s", F.explode("near").alias("a"), F.col("low").alias("b")).where("a <> b")).distinct().checkpoint()
+        settled = after.exceptAll(state).isEmpty() and state.exceptAll(after).isEmpty()
+        state = after
+        if settled:
+            break
+    keys = both.select("s", F.explode(F.array("a", "b")).alias("key")).distinct()
+    found = keys.join(state.withColumnRenamed("a", "key"), ["s", "key"], "left").join(names, "s")
+    return found.select(F.col("advisory_id").alias("scope"), "key", F.coalesce("b", "key").alias("component"))
 
 
 def central_nodes(edges: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lynceus import schemas
+
 
 def _orderable(kind: T.DataType) -> bool:
     if isinstance(kind, T.ArrayType):
@@ -124,3 +126,21 @@ def delete_where_in(target: DataFrame, parents: DataFrame, key: Sequence[str]) -
 def replace_children(target: DataFrame, batch: DataFrame, parent: Sequence[str]) -> DataFrame:
     """Delete the children of every parent in the batch, then insert the batch; columns that it lacks become null."""
     return delete_where_in(target, batch, parent).unionByName(batch, allowMissingColumns=True).select(*target.columns)
+
+
+def upsert_tables(current: dict[str, DataFrame], fresh: dict[str, DataFrame], specs: dict[str, schemas.Table]) -> dict[str, DataFrame]:
+    """Each table of ``fresh`` upserted by its specification's key, with its columns in order; a table that isn't there yet is taken as empty."""
+    out = dict(current)
+    for name, rows in fresh.items():
+        spec = specs[name]
+        rows = schemas.conform(rows, spec)
+        target = schemas.conform(current[name], spec) if name in current else rows.limit(0)
+        out[name] = upsert(target, rows.where(" and ".join(f"`{k}` is not null" for k in spec.key)), spec.key)
+    return out
+
+
+def backfill(target: DataFrame, rows: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Update some columns of matched keys; nulls of ``rows`` leave what was there."""
+    batch = last_by_key(rows.select(*key, *columns), key)
+    joined = _joined(target, batch, key, "left")
+    return joined.select(*[F.coalesce(F.col(f"s.{c}"), F.col(f"t.{c}")).alias(c) if c in columns else F.col(f"t.{c}").alias(c) for c in target.columns])

@@ -207,7 +207,7 @@ def tactics(objects: DataFrame) -> DataFrame:
 
 
 def campaigns(objects: DataFrame) -> DataFrame:
-    return live(objects, "campaign").select(F.coalesce(external_id(F.col("external_references")), "id").alias("campaign_id"), F.col("id").alias("stix_id"), "name", _body()).where("campaign_id is not null")
+    return live(objects, "campaign").select(F.coalesce(external_id(F.col("external_references")), "id").alias("campaign_id"), F.col("id").alias("stix_id"), "name", _body(), iso_date(F.left("first_seen", F.lit(10))).alias("first_seen"), iso_date(F.left("last_seen", F.lit(10))).alias("last_seen")).where("campaign_id is not null")
 
 
 def relationships(objects: DataFrame) -> DataFrame:
@@ -224,6 +224,12 @@ def relationships(objects: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["relationship_id"])
 
 
+def attack_tables(objects: DataFrame) -> dict[str, DataFrame]:
+    """The six tables of a STIX bundle, under their names."""
+    made = {"attack_techniques": techniques, "attack_actors": actors, "attack_mitigations": mitigations, "attack_tactics": tactics, "attack_campaigns": campaigns, "attack_relationships": relationships}
+    return {name: how(objects) for name, how in made.items()}
+
+
 def cwe_id(raw: Column) -> Column:
     """``79``, ``"079"``, ``"cwe-79"`` to ``CWE-79``; null if nothing is left."""
     text = F.trim(raw.cast("string"))

@@ -280,6 +280,27 @@ def classified(advisories: DataFrame, pages: DataFrame, *, id_col: str = "adviso
     todo = advisories.where("document_type is null")
     blank = T.document_type(F.col("title"), F.col("advisory_type"), F.col("co_authors"), F.lit(""))
     undecided = todo.where(blank == "CSA").select(id_col)
-    bodies = pages.join(undecided, id_col, "left_semi").select(id_col, html_col).mapInArrow(run, f"{id_col} {kind}, _body string")
+    # of several pages with one id the first in order counts, so that an advisory stays one row
+    own = pages.join(undecided, id_col, "left_semi").groupBy(id_col).agg(F.min(html_col).alias(html_col))
+    bodies = own.select(id_col, html_col).mapInArrow(run, f"{id_col} {kind}, _body string")
     done = todo.join(bodies, id_col, "left").withColumn("document_type", T.document_type(F.col("title"), F.col("advisory_type"), F.coalesce("co_authors", T.co_authors(F.col("_body"))), F.col("_body"))).drop("_body")
     return advisories.where("document_type is not null").unionByName(done)
+
+
+def flat(pages: DataFrame, *, id_col: str = "advisory_id", html_col: str = "html") -> DataFrame:
+    """``advisory_id, ordinal, section_name, text`` by the older cut."""
+    kind = pages.schema[id_col].dataType.simpleString()
+
+    def run(stream):
+        for batch in stream:
+            rows = [(k, n, *s) for k, html in enumerate(batch.column(1).to_pylist()) for n, s in enumerate(flat_sections(html))]
+            at, n, name, text = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(name, pa.string()), pa.array(text, pa.string())], names=["advisory_id", "ordinal", "section_name", "text"])
+
+    return pages.select(id_col, html_col).mapInArrow(run, f"advisory_id {kind}, ordinal int, section_name string, text string")
+
+
+def mentions(chunk_rows: DataFrame) -> DataFrame:
+    """``advisory_id, cve_ids_mentioned, mitre_ids_mentioned`` of an advisory's chunks, each id once and in order."""
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return chunk_rows.groupBy("advisory_id").agg(every("cve_ids").alias("cve_ids_mentioned"), every("mitre_tech_ids").alias("mitre_ids_mentioned"))

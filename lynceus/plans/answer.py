@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lynceus.operators import graph, search
+from lynceus.operators import digest, graph, merge, search, sections
+from lynceus.sources import feeds
 
 _GRAPH = re.compile(r"\b(exploits?|uses?|targets?|related|linked|connected|path|neighbou?rs?|how many|count|which actors?|CVE-[0-9]{4}-[0-9]+|T[0-9]{4})\b", re.I)
 _TEXT = re.compile(r"\b(explain|describe|mitigat\w*|recommend\w*|detect\w*|summar\w*|guidance|why|how (do|does|can|should))\b", re.I)
@@ -108,6 +109,37 @@ def brief(blocks: DataFrame, write: Callable[[list[str]], str] | None = None) ->
     return write(texts) if write else "\n\n".join(texts)
 
 
+def weekly_brief(cves: DataFrame, start: str, end: str, find: Callable[[DataFrame], DataFrame], write: Callable[[list[str]], str] | None = None, *, limit: int = 10, most: int = 3) -> tuple[DataFrame, str]:
+    """The window's digest with its evidence, and the text that is written of it.
+
+    ``find`` gets the questions of all rows (``cve_id, question``) at once and
+    gives ``cve_id, rank, chunk_text``; ``write`` makes prose of the blocks.
+    """
+    items = digest.with_reason(digest.brief_items(digest.top(cves, start, end, limit=limit), digest.newly_added(cves, start, end)).select("cve_id", "tier"))
+    blocks = evidence_blocks(items, find(questions(items)), most)
+    return blocks, brief(blocks, write)
+
+
+def advisory_pipeline(list_pages: DataFrame, pages: DataFrame, advisories: DataFrame, index_path: str, *, site: str, embed: Callable[[list], list], since=None) -> dict[str, DataFrame]:
+    """New advisories from list pages to a search index, each step on what the one before made.
+
+    Teasers that aren't known are fetched (``pages``: ``advisory_id, html``),
+    classified, cut into chunks, embedded and indexed. Advisories whose page is
+    missing stay without chunks. Gives the new ``advisories`` and ``chunks``;
+    the index is at ``index_path``.
+    """
+    found = feeds.to_fetch(feeds.listings(list_pages, site), advisories, since)
+    none = F.lit(None).cast("array<string>")
+    fresh = found.select("advisory_id", "title", "url", "published_date", "advisory_type", none.alias("co_authors"), F.lit(None).cast("string").alias("document_type"))
+    typed = sections.classified(fresh, pages)
+    own = pages.join(typed.select("advisory_id", "document_type"), "advisory_id")
+    chunk_rows = sections.chunks(own).withColumn("chunk_embedding", F.lit(None).cast("array<float>"))
+    embedded = search.missing_vectors(chunk_rows, embed)
+    noted = merge.backfill(typed.withColumns({c: none for c in ("cve_ids_mentioned", "mitre_ids_mentioned")}), sections.mentions(chunk_rows), ["advisory_id"], ["cve_ids_mentioned", "mitre_ids_mentioned"])
+    search.build(embedded, "chunk_id", "chunk_text", index_path)
+    return {"advisories": noted, "chunks": embedded}
+
+
 def events(items: list[str], text: str, step: int = 80):
     """What a client is sent: ``meta``, ``cves``, the text in parts, ``done``."""
     yield "meta", {"count": len(items)}
