@@ -371,7 +371,7 @@ def win_top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("r", F.row_number().over(order)).where("r <= 5").select("lang", "doc_id")
 
 
-@query()
+@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat('42|', doc_id)), doc_id) AS n FROM documents) WHERE n <= 20")
 def win_quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.quota_sample(table(spark, sf_dir, "documents"), "lang", 20, "doc_id", seed=42).select("lang", "doc_id")
 

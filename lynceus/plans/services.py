@@ -170,11 +170,6 @@ def txt_scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- evaluation -----------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256(concat('7|', o_orderkey)), o_orderkey) AS n FROM orders) WHERE n <= 25")
-def srt_quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.quota_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", 25, "o_orderkey", seed=7)
-
-
 @query("SELECT count(*) AS n, round(avg(CASE WHEN (o_orderkey % 3 = 0) = (o_orderkey % 2 = 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM orders")
 def evl_pair_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.pair_accuracy(table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3 == 0).alias("same"), (F.col("o_orderkey") % 2 == 0).alias("predicted")))

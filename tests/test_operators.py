@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -246,6 +247,32 @@ def test_components_part_the_nodes(spark):
     assert [tuple(r) for r in graph.inference_candidates(edges).collect()] == [("x", "b", "d")]
 
 
+def test_large_scopes_are_labelled_in_rounds(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(90)] + [("c", f"p{k:02d}", f"p{k + 1:02d}") for k in range(40)] + [("d", "x", "x")]
+    edges = spark.createDataFrame(rows, "advisory_id string, src_key string, dst_key string")
+    found = [sorted(map(str, graph.components(edges, limit).collect())) for limit in (10**6, 20, 0)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
+def test_graph_counts_and_node_upserts(spark, small):
+    nodes, edges = small
+    asked = nodes.select("label", "key").limit(1).unionByName(spark.createDataFrame([("CVE", "nowhere")], "label string, key string"))
+    assert {r.key: r.n for r in graph.exists(nodes, asked).collect()}["nowhere"] == 0
+    once = graph.upsert_nodes(nodes, asked)
+    assert graph.upsert_nodes(once, asked).count() == once.count() == nodes.count() + 1
+
+
+def test_tables_by_their_specifications(spark):
+    from lynceus import schemas
+
+    one = spark.createDataFrame([("M1", "a", None), ("M1", "b", "x"), (None, "c", "y")], "mitigation_id string, name string, extra string")
+    tables = merge.upsert_tables({}, {"attack_mitigations": one}, schemas.TABLES)
+    assert [(r.mitigation_id, r.name) for r in tables["attack_mitigations"].collect()] == [("M1", "b")] and tables["attack_mitigations"].columns == schemas.TABLES["attack_mitigations"].names
+    two = merge.upsert_tables(tables, {"attack_mitigations": spark.createDataFrame([("M1", "z"), ("M2", "n")], "mitigation_id string, name string")}, schemas.TABLES)
+    assert sorted((r.mitigation_id, r.name) for r in two["attack_mitigations"].collect()) == [("M1", "z"), ("M2", "n")]
+
+
 def test_edges_need_both_ends(spark, small):
     nodes, edges = small
     new = spark.createDataFrame([("Actor", "a1", "USES", "Technique", "t2", "z"), ("Actor", "a1", "USES", "Technique", "t2", "z"), ("Actor", "a1", "EXPLOITS", "CVE", "nope", "z")], edges.drop("edge_id").schema)
