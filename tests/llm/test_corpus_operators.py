@@ -830,7 +830,8 @@ def test_odd_rows(odd, docs, labels, bench):
         if name in ("toxicity", "language", "quality", "tokens", "groups"):
             assert len(rows) == n, name
         if name.endswith("filter"):
-            assert found.columns == odd.columns and 0 < len(rows) <= n, name
+            # in none of these texts is there enough of a language of the tables
+            assert found.columns == odd.columns and (not rows if name == "language filter" else 0 < len(rows) <= n), name
 
 
 def test_empty_tables(none, docs, labels, bench):
