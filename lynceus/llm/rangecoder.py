@@ -80,7 +80,7 @@ def _context(one, two):
     return (one * 0x9E3779B1 + two * 0x85EBCA77) & ((1 << 40) - 1)
 
 
-# -- encoder --------------------------------------------------------------------------------------
+# -- encoder --
 
 
 def _below(rank: np.ndarray) -> np.ndarray:
@@ -273,7 +273,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     return out
 
 
-# -- decoder --------------------------------------------------------------------------------------
+# -- decoder --
 
 
 class _Seen:
@@ -415,7 +415,7 @@ def _decode(data: bytes) -> np.ndarray:
     return out
 
 
-# -- tables ---------------------------------------------------------------------------------------
+# -- tables --
 
 
 class _Blocks:

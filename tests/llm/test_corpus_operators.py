@@ -37,7 +37,7 @@ def automaton():
     return tokens.Automaton.of(tokens.read_vocabulary())
 
 
-# -- kernels --------------------------------------------------------------------------------------
+# -- kernels --
 
 
 def test_words_are_those_of_a_regular_expression():
@@ -67,7 +67,7 @@ def test_sliced_and_wide_arrays_read_alike():
     assert narrow == wide == [b"one twothree"]
 
 
-# -- 1 toxicity -----------------------------------------------------------------------------------
+# -- 1 toxicity --
 
 
 @pytest.mark.parametrize(
@@ -180,7 +180,7 @@ def test_toxic_documents_of_every_language_are_caught(spark, sf_dir):
     assert max(v for (_, _, toxic), v in found.items() if not toxic) <= 0.04
 
 
-# -- 2 language -----------------------------------------------------------------------------------
+# -- 2 language --
 
 
 def test_bundle_is_the_sum_of_bound_trigrams():
@@ -230,7 +230,7 @@ def test_texts_without_a_language_are_rejected(spark, odd, docs):
     assert not any(r.accepted for r in language.identify(odd, language.train(odd.limit(0))).collect())
 
 
-# -- 3 decontamination ----------------------------------------------------------------------------
+# -- 3 decontamination --
 
 
 def test_search_finds_what_find_finds():
@@ -269,7 +269,7 @@ def test_items_of_a_word_or_two_convict_nobody(spark):
     assert {r.doc_id for r in decontaminate.remove(rows, bench).collect()} == {1, 2}
 
 
-# -- 4 quality ------------------------------------------------------------------------------------
+# -- 4 quality --
 
 
 def test_flat_forest_walks_like_nested_trees():
@@ -317,7 +317,7 @@ def test_one_class_or_no_labels(spark, odd, docs):
         assert {r.accepted for r in quality.scores(odd, model).collect()} == {want}
 
 
-# -- 5 licenses -----------------------------------------------------------------------------------
+# -- 5 licenses --
 
 
 def test_equal_texts_are_found_however_they_are_written(spark):
@@ -362,7 +362,7 @@ def test_large_license_table_is_joined_by_a_shuffle(spark, monkeypatch):
     assert {r.license_id for r in licenses.scan(rows).collect()} == {"MIT"}
 
 
-# -- 6 range coder --------------------------------------------------------------------------------
+# -- 6 range coder --
 
 
 def test_round_trip_of_blocks():
@@ -457,7 +457,7 @@ def test_nulls_among_ids_are_left_out(spark):
     assert {(r.doc_id, tuple(r.ids)) for r in rangecoder.read(rangecoder.write_ids(rows)).collect()} == {(1, (5,)), (2, ()), (3, ()), (4, (6,))}
 
 
-# -- 7 tokens -------------------------------------------------------------------------------------
+# -- 7 tokens --
 
 _UNITS = re.compile(rb" ?[0-9A-Za-z\x80-\xff]+| ?[^ \t\n\r\x0b\x0c0-9A-Za-z\x80-\xff]+|[ \t\n\r\x0b\x0c]+(?= [^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 
@@ -518,7 +518,7 @@ def test_small_vocabularies_fall_back_to_bytes():
     assert a.count_texts(pa.array(["abc", "abcd", "abcab", "zz", None])).tolist() == [2, 1, 3, 2, 0]
 
 
-# -- 8 ogg ----------------------------------------------------------------------------------------
+# -- 8 ogg --
 
 
 def _slow_crc(data: bytes) -> int:
@@ -586,7 +586,7 @@ def test_values_that_hold_no_media(spark):
     assert sorted((r.doc_id, r.serial, r.skipped_bytes) for r in ogg.streams(rows).collect()) == [(2, None, 0), (3, None, 9)]
 
 
-# -- 9 packing ------------------------------------------------------------------------------------
+# -- 9 packing --
 
 
 def _fewest(items: list[int], capacity: int) -> int:
@@ -676,7 +676,7 @@ def test_packing_of_repeats_nulls_and_nothing(spark, odd, none):
     assert packing.pack(none).collect() == []
 
 
-# -- 10 near copies -------------------------------------------------------------------------------
+# -- 10 near copies --
 
 
 def test_trees_find_the_pairs_of_brute_force():
@@ -801,7 +801,7 @@ def test_one_id_with_different_texts_loses_none(spark, turn):
         assert {(r.doc_id, r.group_id) for r in judged.where("doc_id is not null").collect()} == {(r[0], g) for r, g in group.items()}
 
 
-# -- odd tables -----------------------------------------------------------------------------------
+# -- odd tables --
 
 
 def _everything(table, docs, labels, bench):
