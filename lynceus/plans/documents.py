@@ -12,7 +12,7 @@ from lynceus.operators import evaluate, filters, graph, normalize, search, secti
 from lynceus.session import shared_folder
 from lynceus.plans.common import CVES, EDGES, NODES, TRIPLETS, query, rows, rows_spread, spread, table
 
-# -- projections ----------------------------------------------------------------------------------
+# -- projections --
 
 _METRIC = """array(named_struct('source', 'other', 'type', 'Secondary', 'exploitabilityScore', 1.0D, 'impactScore', 1.0D, 'cvssData', named_struct('baseScore', 1.0D, 'baseSeverity', 'LOW', 'attackVector', 'LOCAL', 'accessVector', 'LOCAL')),
   named_struct('source', CASE WHEN o_orderkey % 2 = 0 THEN 'nvd@nist.gov' ELSE 'cna' END, 'type', 'Primary', 'exploitabilityScore', CAST(o_orderkey % 40 AS DOUBLE) / 10, 'impactScore', CAST(o_orderkey % 60 AS DOUBLE) / 10,
@@ -150,7 +150,7 @@ def fun_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.age(seconds).alias("age"))
 
 
-# -- text -----------------------------------------------------------------------------------------
+# -- text --
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
@@ -312,7 +312,7 @@ def doc_html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.split(spread(table(spark, sf_dir, "pages")), id_col="page_id", type_col=None)
 
 
-# -- graph ----------------------------------------------------------------------------------------
+# -- graph --
 
 
 def _start(spark: SparkSession, label: str, *keys: str) -> DataFrame:
@@ -459,7 +459,7 @@ def graph_template_exploited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.template(rows(spark, sf_dir, EDGES), rows(spark, sf_dir, NODES), "exploited")
 
 
-# -- evaluation -----------------------------------------------------------------------------------
+# -- evaluation --
 
 _RANKED = "SELECT o_custkey % 100 AS query_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM {orders}"
 _GOLDEN = "SELECT query_id, min(id) AS expected FROM (SELECT o_custkey % 100 AS query_id, o_orderkey AS id, o_totalprice FROM {orders}) g WHERE o_totalprice > 470000 GROUP BY query_id"

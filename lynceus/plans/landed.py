@@ -38,7 +38,7 @@ def _whole(df: DataFrame, head: str, item: str, tail: str, between: str = ",", o
     return _text(df.agg(F.concat(F.lit(head), parts, F.lit(tail)).alias("value")).coalesce(1), "value")
 
 
-# -- vulnerability feeds --------------------------------------------------------------------------
+# -- vulnerability feeds --
 
 _LINES = f"SELECT CASE WHEN o_orderkey % 40 = 1 THEN 'not a line' WHEN o_orderkey % 40 = 2 THEN '  ' ELSE line END AS line FROM ({_RAW})"
 _GOOD = "o_orderkey % 40 NOT IN (1, 2)"
@@ -90,7 +90,7 @@ def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.lines(spark, _text(made, "line"))
 
 
-# -- other documents ------------------------------------------------------------------------------
+# -- other documents --
 
 _LISTED = "SELECT p_partkey AS ordinal, concat('CVE-2022-', CAST(p_partkey AS STRING)) AS cveID, '2022-05-06' AS dateAdded, CASE WHEN p_partkey % 3 = 0 THEN 'Known' ELSE 'Unknown' END AS knownRansomwareCampaignUse, p_brand AS vendorProject, p_name AS product FROM {part}"
 
@@ -125,7 +125,7 @@ def src_weaknesses_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.weaknesses_json(spark, _whole(rows(spark, sf_dir, _WEAK).select("ordinal", item.alias("item")), '{"Weaknesses": [', "item", "]}"))
 
 
-# -- advisories -----------------------------------------------------------------------------------
+# -- advisories --
 
 SITE = "https://example.org"
 _KNOWN_ADVISORY = "p_partkey % 7 = 0"
@@ -217,7 +217,7 @@ def txt_missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.missing_vectors(chunks, _embed, batch=20).select("p_partkey", F.get("chunk_embedding", F.lit(0)).cast("double").alias("v"))
 
 
-# -- loads ----------------------------------------------------------------------------------------
+# -- loads --
 
 
 @query("SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1")

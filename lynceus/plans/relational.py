@@ -171,7 +171,7 @@ def dedup_min_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triplets.without_repeats(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
 
 
-# -- keyed writes ---------------------------------------------------------------------------------
+# -- keyed writes --
 
 _TARGET = "SELECT c_custkey AS k, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM {customer} WHERE c_custkey % 3 <> 0"
 _BATCH = "SELECT c_custkey AS k, concat('new ', c_name) AS name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal + 1 END AS balance, c_mktsegment AS segment, c_custkey % 2 AS seq FROM {customer} WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'late', c_acctbal, 'none', 9 FROM {customer} WHERE c_custkey % 10 = 0"
@@ -239,7 +239,7 @@ def merge_key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(table(spark, sf_dir, "customer"), "c_nationkey")
 
 
-# -- filters and joins ----------------------------------------------------------------------------
+# -- filters and joins --
 
 _ARRAYS = "SELECT l_orderkey AS advisory_id, collect_set(CAST(l_partkey % 50 AS STRING)) AS ids FROM {lineitem} GROUP BY l_orderkey"
 
@@ -342,7 +342,7 @@ def jon_alias_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triplets.alias_leaks(rows(spark, sf_dir, _NAMED).withColumn("triplet_id", F.col("p_partkey").cast("string")), rows(spark, sf_dir, _ALIASES))
 
 
-# -- windows, order, sets -------------------------------------------------------------------------
+# -- windows, order, sets --
 
 
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
@@ -405,7 +405,7 @@ def set_weakness_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.weakness_mappings(rows(spark, sf_dir, _MAPPED))
 
 
-# -- triplets -------------------------------------------------------------------------------------
+# -- triplets --
 
 _RELATIONS = "('uses', 'targets', 'exploits', 'mitigates', 'affects', 'attributed_to', 'has_weakness')"
 _VAGUE = "(" + ", ".join(f"'{v}'" for v in filters.VAGUE) + ")"
@@ -439,7 +439,7 @@ def val_alias_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triplets.approve(rows(spark, sf_dir, _PAIRS))
 
 
-# -- incremental ----------------------------------------------------------------------------------
+# -- incremental --
 
 
 @query("SELECT strftime(CAST(d AS DATE), '%Y-%m-%d') AS slice_start, strftime(least(CAST(d AS DATE) + 6, e), '%Y-%m-%d') AS slice_end FROM (SELECT unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 7 DAY)) AS d, CAST(max(o_orderdate) AS DATE) AS e FROM orders)")

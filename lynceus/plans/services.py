@@ -17,7 +17,7 @@ from lynceus.plans.documents import _BM25, _index, _near_sql, _start, _trail, _p
 from lynceus.plans.landed import _ADVISORY, _BODY, _KNOWN_ADVISORY, _LISTED_ADVISORIES, _PAGES, SITE, _embed, _folder, _list_pages
 from lynceus.plans.relational import END, START, _TIER, _REASON, _WINDOW
 
-# -- attack tables --------------------------------------------------------------------------------
+# -- attack tables --
 
 _MORE = """SELECT concat('course-of-action--', CAST(p_partkey AS STRING)) AS id, 'course-of-action' AS type, p_name AS name, CASE WHEN p_partkey % 3 <> 0 THEN concat('M', CAST(p_partkey AS STRING)) END AS mitre, p_brand AS brand FROM {part}
 UNION ALL SELECT concat('x-mitre-tactic--', CAST(n_nationkey AS STRING)), 'x-mitre-tactic', n_name, concat('TA', CAST(n_nationkey AS STRING)), lower(n_name) FROM {nation}
@@ -63,7 +63,7 @@ def snk_attack_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-# -- graph ----------------------------------------------------------------------------------------
+# -- graph --
 
 
 @query("""SELECT label, key, concat('{"label":"', label, '","key":"', key, '","name":', CASE WHEN name IS NULL THEN 'null' ELSE concat('"', name, '"') END, ',"published_date":', CASE WHEN published_date IS NULL THEN 'null' ELSE concat('"', strftime(published_date, '%Y-%m-%d'), '"') END, ',"is_kev":', is_kev, '}') AS value FROM $n""", n=NODES)
@@ -121,7 +121,7 @@ def graph_node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upsert_nodes(nodes, batch).select("label", "key", "vuln_status", "name")
 
 
-# -- text -----------------------------------------------------------------------------------------
+# -- text --
 
 _NAMES = "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN concat('cve-2021-', CAST(o_orderkey + 1000 AS STRING)) WHEN 1 THEN concat('CWE-', CAST(o_orderkey AS STRING)) WHEN 2 THEN ' TA0001 ' WHEN 3 THEN 'T1059.001' WHEN 4 THEN 'T12' ELSE o_clerk END AS name, CASE o_orderkey % 3 WHEN 0 THEN 'actor' WHEN 1 THEN 'software' ELSE 'made up' END AS classified FROM (SELECT o_orderkey, concat('Clerk ', CAST(o_custkey AS STRING)) AS o_clerk FROM {orders})"
 
@@ -167,7 +167,7 @@ def txt_scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.scoped_search(_index(spark, sf_dir), questions, chunks, scope, vectors).select("query_id", "id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
-# -- evaluation -----------------------------------------------------------------------------------
+# -- evaluation --
 
 
 @query("SELECT count(*) AS n, round(avg(CASE WHEN (o_orderkey % 3 = 0) = (o_orderkey % 2 = 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM orders")
@@ -181,7 +181,7 @@ def val_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triplets.verified(rows(spark, sf_dir, TRIPLETS).withColumns({"first": F.when(n % 3 == 0, True).when(n % 3 == 1, False), "second": n % 5 != 0}), "first", "second").select("ordinal")
 
 
-# -- questions and briefs -------------------------------------------------------------------------
+# -- questions and briefs --
 
 _QUESTIONS = ("Which actors use T1059?", "How do I mitigate this?", "Explain how A1 exploits CVE-2021-1000", "Hello there", "What is linked to A3?")
 
@@ -275,7 +275,7 @@ def orc_advisory_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made["advisories"].join(per, "advisory_id").join(hits, "advisory_id").select("advisory_id", "document_type", F.array_join("cve_ids_mentioned", ",").alias("cve_ids"), "chunks", "embedded", "indexed")
 
 
-# -- usage ----------------------------------------------------------------------------------------
+# -- usage --
 
 _CALLS = "SELECT concat('c', CAST(event_id AS STRING)) AS log_id, event_type AS stage, CASE WHEN event_id % 3 = 0 THEN 'small' ELSE 'unpriced' END AS model, CAST(event_id % 1000 AS BIGINT) AS input_tokens, CAST(event_id % 100 AS BIGINT) AS output_tokens FROM {events}"
 

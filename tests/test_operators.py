@@ -12,7 +12,7 @@ from lynceus.operators import digest, evaluate, filters, graph, merge, search, s
 from lynceus.plans import answer
 from lynceus.streaming import incremental
 
-# -- merge ----------------------------------------------------------------------------------------
+# -- merge --
 
 
 @pytest.fixture
@@ -75,7 +75,7 @@ def test_queue_is_filled_and_drained(spark, target):
     assert grown.where("k = 9").count() == 1 and {r.k: r.fetched for r in closed.collect()} == {7: False, 8: False, 9: True}
 
 
-# -- text and sections ----------------------------------------------------------------------------
+# -- text and sections --
 
 
 def test_tokens(spark):
@@ -146,7 +146,7 @@ def test_small_expressions(spark):
     assert [r[0] for r in names.select(T.node_label(T.entity_type(F.col("n"), F.col("c")))).collect()] == ["CVE", "Tactic", "Technique", "Malware", "Other"]
 
 
-# -- search ---------------------------------------------------------------------------------------
+# -- search --
 
 
 def test_bm25_by_hand(spark, tmp_path):
@@ -207,7 +207,7 @@ def test_filters(spark):
     assert ids() == ["c1", "c2", "c3"] and ids(document_types=["MAR"]) == ["c2"] and ids(section_names=["IoC"], ids=["a1"]) == ["c3"] and ids(arrays={"cve_ids": ["CVE-1"]}) == ["c1"]
 
 
-# -- graph ----------------------------------------------------------------------------------------
+# -- graph --
 
 
 @pytest.fixture
@@ -286,7 +286,7 @@ def test_pairs_of_mentioned_ids(spark):
     assert _set(graph.cooccurrences(rows)) == [("CVE-2024-2", "T1059"), ("CVE-2024-2", "T1566.001")]
 
 
-# -- triplets and evaluation ----------------------------------------------------------------------
+# -- triplets and evaluation --
 
 
 def test_triplet_validation(spark):
@@ -322,7 +322,7 @@ def test_retrieval_metrics(spark):
     assert row.mrr == pytest.approx((1 + 0.25) / 3, abs=1e-6) and row.ndcg_10 == pytest.approx((1 + 1 / math.log2(5)) / 3, abs=1e-6)
 
 
-# -- digest and incremental -----------------------------------------------------------------------
+# -- digest and incremental --
 
 
 def test_digest_windows():
@@ -381,7 +381,7 @@ def test_stream_loads_each_file_once(spark, tmp_path):
         incremental.load_stream(spark, str(source), empty.schema, target, empty, ["k"], str(tmp_path / "c"), order=[])
 
 
-# -- answers --------------------------------------------------------------------------------------
+# -- answers --
 
 
 def test_routes():
