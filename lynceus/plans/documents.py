@@ -21,10 +21,10 @@ _RAW = f"""SELECT o_orderkey, to_json(named_struct('cve', named_struct(
   'id', CASE WHEN o_orderkey % 50 = 0 THEN 'BAD-1' ELSE concat('CVE-2021-', CAST(o_orderkey + 1000 AS STRING)) END, 'sourceIdentifier', 'cna', 'published', concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T10:15:00.000'),
   'lastModified', concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T23:30:00.000-01:00'), 'vulnStatus', 'Analyzed',
   'descriptions', array(named_struct('lang', 'es', 'value', 'hola'), named_struct('lang', 'en', 'value', concat('about ', CAST(o_orderkey AS STRING)))),
-  'metrics', named_struct('cvssMetricV31', CASE WHEN o_orderkey % 4 = 0 THEN {_METRIC} END, 'cvssMetricV40', CASE WHEN o_orderkey % 4 = 1 THEN {_METRIC} END, 'cvssMetricV30', CASE WHEN o_orderkey % 8 = 2 THEN {_METRIC} END, 'cvssMetricV2', CASE WHEN o_orderkey % 8 = 3 THEN {_METRIC} END),
+  'metrics', named_struct('cvssMetricV31', CASE WHEN o_orderkey % 4 = 0 THEN metric END, 'cvssMetricV40', CASE WHEN o_orderkey % 4 = 1 THEN metric END, 'cvssMetricV30', CASE WHEN o_orderkey % 8 = 2 THEN metric END, 'cvssMetricV2', CASE WHEN o_orderkey % 8 = 3 THEN metric END),
   'weaknesses', array(named_struct('type', 'Secondary', 'description', array(named_struct('lang', 'en', 'value', 'CWE-79'))), named_struct('type', CASE WHEN o_orderkey % 3 = 0 THEN 'Primary' ELSE 'Secondary' END, 'description', array(named_struct('lang', CASE WHEN o_orderkey % 6 = 0 THEN 'fr' ELSE 'en' END, 'value', 'CWE-120'), named_struct('lang', 'en', 'value', 'NVD-noinfo')))),
   'configurations', array(named_struct('nodes', array(named_struct('cpeMatch', array(named_struct('vulnerable', o_orderkey % 2 = 0, 'criteria', 'cpe:a'), named_struct('vulnerable', true, 'criteria', 'cpe:b')))))),
-  'references', array(named_struct('url', 'u', 'tags', CASE WHEN o_orderkey % 5 = 0 THEN array('Patch', 'Exploit') WHEN o_orderkey % 5 = 1 THEN array('Patch') END))))) AS line FROM {{orders}}"""
+  'references', array(named_struct('url', 'u', 'tags', CASE WHEN o_orderkey % 5 = 0 THEN array('Patch', 'Exploit') WHEN o_orderkey % 5 = 1 THEN array('Patch') END))))) AS line FROM (SELECT *, {_METRIC} AS metric FROM {{orders}})"""
 _ID = "CASE WHEN o_orderkey % 50 = 0 THEN 'BAD-1' ELSE concat('CVE-2021-', CAST(o_orderkey + 1000 AS VARCHAR)) END"
 _SCORE = "CAST(o_orderkey % 101 AS DOUBLE) / 10"
 
