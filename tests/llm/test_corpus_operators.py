@@ -216,6 +216,52 @@ def test_every_language_has_its_share_of_the_sample(spark):
     assert profiles.names == ["en", "es"] and names == ["es", "en"]
 
 
+def test_every_labelled_document_is_fitted_on(spark):
+    rng = random.Random(3)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(rng.choice([5, 20, 60])))
+
+    rows = [(k if k % 7 else None, text("abcdefgh"), "aa") for k in range(4500)] + [(k // 2, text("efghijkl"), "bb") for k in range(1500)] + [(1, text("mnop"), "cc"), (3, None, "aa"), (4, text("mnop"), None)]
+    profiles = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    assert profiles.names == ["aa", "bb", "cc"]
+    fit = [r for r in rows if r[1] and r[2]]
+    vectors, trigrams = language.Space().counted(pa.array([t for _, t, _ in fit]))
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    claim = np.array([profiles.names.index(n) for _, _, n in fit])
+    sums = np.stack([units[claim == k].sum(axis=0, dtype=float) for k in range(3)])
+    assert np.allclose(profiles.prototypes, sums / np.linalg.norm(sums, axis=1, keepdims=True), atol=2e-6)
+    # in floors, 4,500 documents weigh as much as ALIKE
+    cosines = (units @ profiles.prototypes.T).round(4)
+    each, at = np.arange(len(fit)), np.array([language.ALIKE / 4500, 1, 1])[claim]
+    own = cosines[each, claim]
+    cosines[each, claim] = -np.inf
+    for k, (low, high) in enumerate(zip((0, *language.LENGTHS), (*language.LENGTHS, 10**9))):
+        here, bounds = (trigrams >= low) & (trigrams < high), []
+        for x, share in ((own, language.OWN), (cosines.max(axis=1), language.FOREIGN)):
+            order = np.argsort(x[here])
+            place = np.searchsorted(np.cumsum(at[here][order]), share * at[here].sum())
+            bounds.append(x[here][order][[place - 1, place + 1]])
+        below, above = np.maximum(np.min(bounds, axis=0), language.LEAST_COSINE)
+        assert below - 1e-4 <= profiles.floors[k] <= above + 1e-4
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = {f"l{k:03}": " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)) for k in range(300)}
+    profiles = language.train(spark.createDataFrame([(k, t, n) for k, (n, t) in enumerate(texts.items())] + [(300, "!", "none")], "doc_id long, text string, lang string"))
+    assert profiles.names == list(texts)  # of the last one there are no letters
+    whole = profiles.judge(pa.array(list(texts.values())), list(texts))
+    assert whole[0] == list(texts) and whole[2].all()
+    monkeypatch.setattr(language, "_CELLS", 1000)  # cosines in runs of three rows
+    assert profiles.judge(pa.array(list(texts.values())), list(texts))[0] == whole[0]
+    monkeypatch.setattr(language, "_SUMS", 7)
+    parts = list(language._sum(iter([pa.RecordBatch.from_arrays([pa.array(list(texts.values())), pa.array(list(texts))], names=["text", "lang"])])))
+    assert len(parts) > 40 and sum(b.num_rows for b in parts) == 300
+    merged = pa.Table.from_batches(language._merge(iter([pa.Table.from_batches([*parts, *parts]).sort_by("lang").combine_chunks().to_batches()[0]])))
+    assert merged.column("lang").to_pylist() == list(texts) and set(merged.column("documents").to_pylist()) == {2}
+
+
 def test_floors_lie_between_foreign_and_own():
     rng = np.random.default_rng(0)
     own, foreign, n = rng.uniform(0.5, 0.9, 1000), rng.uniform(0.1, 0.3, 1000), np.full(1000, 500)
@@ -224,6 +270,13 @@ def test_floors_lie_between_foreign_and_own():
     assert language.floors(own, np.full(1000, -np.inf), n) == (language.LEAST_COSINE,) * 3  # a single language
 
 
+def test_quantiles_of_counted_values():
+    rng = np.random.default_rng(1)
+    values, number = rng.uniform(0, 1, 40), rng.integers(0, 5, 40)
+    for share in (0, 0.005, 0.3, 0.99, 1):
+        assert language._quantile(values, number, number * 7, share) == pytest.approx(np.quantile(np.repeat(values, number), share))
+
+
 def test_texts_without_a_language_are_rejected(spark, odd, docs):
     rows = {(r.doc_id, r.language is None): r.accepted for r in language.identify(odd, language.train(docs)).collect()}
     assert rows[(2, True)] is rows[(3, True)] is rows[(5, True)] is False
