@@ -286,6 +286,11 @@ def test_pairs_of_mentioned_ids(spark):
     assert _set(graph.cooccurrences(rows)) == [("CVE-2024-2", "T1059"), ("CVE-2024-2", "T1566.001")]
 
 
+def test_technique_numbers_may_have_more_than_four_digits(spark):
+    rows = spark.createDataFrame([(["CVE-2024-2"], ["t10001", "T106000.002", "T999"])], "cve_ids array<string>, mitre_tech_ids array<string>")
+    assert _set(graph.cooccurrences(rows)) == [("CVE-2024-2", "T10001"), ("CVE-2024-2", "T106000.002")]
+
+
 # -- triplets and evaluation --
 
 
