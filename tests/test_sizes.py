@@ -34,3 +34,8 @@ def test_every_question_is_asked(name, spark, more_questions, same):
     found = catalog.QUERIES[name](spark, more_questions).toPandas()
     assert found["query_id"].max() >= 40
     same(found, _oracle(name, more_questions))
+
+
+def test_every_question_has_its_vector(spark, more_questions):
+    found = catalog.QUERIES["txt_hybrid_rrf"](spark, more_questions).toPandas()
+    assert found.loc[found["vec_rank"] > 0, "query_id"].max() >= 40
