@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from lynceus.operators import search
 from lynceus.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,3 +40,14 @@ def test_every_question_is_asked(name, spark, more_questions, same):
 def test_every_question_has_its_vector(spark, more_questions):
     found = catalog.QUERIES["txt_hybrid_rrf"](spark, more_questions).toPandas()
     assert found.loc[found["vec_rank"] > 0, "query_id"].max() >= 40
+
+
+def test_a_bucket_is_written_in_slices(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, f"common word{k % 7} common") for k in range(200)], "id long, text string")
+    plain = search.build(docs, "id", "text", str(tmp_path / "plain"))
+    monkeypatch.setattr(search, "CHARACTERS_PER_TASK", 40, raising=False)
+    cut = search.build(docs, "id", "text", str(tmp_path / "cut"))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(plain.postings) == rows(cut.postings) and rows(plain.terms) == rows(cut.terms) and rows(plain.mean) == rows(cut.mean)
+    largest = max(spark.read.parquet(f).count() for f in cut.postings.where("term = 'common'").inputFiles())
+    assert largest < 100
