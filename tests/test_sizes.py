@@ -51,3 +51,18 @@ def test_a_bucket_is_written_in_slices(spark, tmp_path, monkeypatch):
     assert rows(plain.postings) == rows(cut.postings) and rows(plain.terms) == rows(cut.terms) and rows(plain.mean) == rows(cut.mean)
     largest = max(spark.read.parquet(f).count() for f in cut.postings.where("term = 'common'").inputFiles())
     assert largest < 100
+
+
+def test_scores_are_made_in_tiles(spark, monkeypatch):
+    pool = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)], "id int, v array<float>")
+    asked = pool.selectExpr("id AS query_id", "v AS vector")
+    near = lambda: sorted(tuple(r) for r in search.nearest(asked, pool, 5, id_col="id", vector_col="v", exclude_self=True).select("query_id", "id", "rank").collect())
+    whole, plain = near(), search._best_so_far
+
+    def small(best, score, k):
+        assert score.shape[0] <= 8 and score.shape[1] <= 8
+        return plain(best, score, k)
+
+    monkeypatch.setattr(search, "TILE", 8, raising=False)
+    monkeypatch.setattr(search, "_best_so_far", small)
+    assert near() == whole
