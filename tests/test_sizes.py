@@ -4,8 +4,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from lynceus.operators import search
+from lynceus.operators import graph, search
 from lynceus.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -66,3 +67,16 @@ def test_scores_are_made_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(search, "TILE", 8, raising=False)
     monkeypatch.setattr(search, "_best_so_far", small)
     assert near() == whole
+
+
+def test_a_common_product_is_met_by_many_tasks(spark):
+    edges = [(f"adv{k}", "Actor", f"A{k}", "EXPLOITS", "CVE", "C1") for k in range(300)] + [(f"adv{k}", "CVE", "C1", "AFFECTS", "Other", "Maker Server") for k in range(300)]
+    # two products of one source hold the maker's name, and one vulnerability is its own sibling
+    edges += [("adv0", "Actor", "A0", "EXPLOITS", "CVE", "C2"), ("adv0", "CVE", "C2", "AFFECTS", "Other", "Maker Desk")]
+    rows = spark.createDataFrame(edges, "advisory_id string, src_label string, src_key string, rel string, dst_label string, dst_key string")
+    siblings = spark.createDataFrame([("C1", "maker", "none"), ("C2", "maker", ""), ("C3", "maker", "desk")], "cve_id string, kev_vendor_project string, kev_product string")
+    found = graph.bridges(rows, siblings)
+    want = {(f"A{k}", t, f"adv{k}", "existing" if (k, t) in {(0, "C1"), (0, "C2")} else "new") for k in range(300) for t in ("C1", "C2", "C3") if t != "C1" or k == 0}
+    got = [(r.src_key, r.target, r.advisory_id, r.status) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert found.select(F.spark_partition_id()).distinct().count() > 4
