@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lynceus.operators import graph, search
-from lynceus.plans import catalog
+from lynceus.plans import catalog, landed
+from lynceus.sources import feeds
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -80,3 +81,22 @@ def test_a_common_product_is_met_by_many_tasks(spark):
     got = [(r.src_key, r.target, r.advisory_id, r.status) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
     assert found.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_a_list_page_is_not_held_as_a_tree():
+    def page(n):
+        part = '<article class="c-teaser"><time datetime="2024-03-01"></time><div class="c-teaser__meta">Analysis Report</div><h3 class="c-teaser__title"><a href="/a/x{0}"> large &amp; ring {0} </a></h3></article>'
+        return "<html><body>" + "".join(part.format(k) for k in range(n)) + "</body></html>"
+
+    found = feeds.listing(page(3000), "https://site.example")
+    assert [(r[0], r[1]) for r in found] == [(f"x{k}", f"large & ring {k}") for k in range(3000)]
+    html, most = page(20_000), []
+    for number, _ in enumerate(reader := feeds._Articles().articles(html)):
+        if number % 1000 == 0:
+            most.append(sum(1 for x in reader.gi_frame.f_locals["self"].root.all("article")))
+    assert number == 19_999 and max(most) <= 1
+
+
+def test_list_pages_grow_in_number_only(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS p_partkey", "'name' AS p_name").write.parquet(str(tmp_path / "part.parquet"))
+    assert landed._list_pages(spark, str(tmp_path)).selectExpr("max(length(html))").first()[0] < 100 * 400
