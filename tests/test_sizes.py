@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lynceus.operators import graph, search
-from lynceus.plans import catalog, landed
+from lynceus.plans import catalog, common, landed, services
 from lynceus.sources import feeds
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -100,3 +100,10 @@ def test_a_list_page_is_not_held_as_a_tree():
 def test_list_pages_grow_in_number_only(spark, tmp_path):
     spark.range(2000).selectExpr("id AS p_partkey", "'name' AS p_name").write.parquet(str(tmp_path / "part.parquet"))
     assert landed._list_pages(spark, str(tmp_path)).selectExpr("max(length(html))").first()[0] < 100 * 400
+
+
+def test_attack_objects_are_dealt_by_their_rows(spark, sf_dir, monkeypatch, same):
+    whole = catalog.QUERIES["snk_attack_tables"](spark, sf_dir).toPandas()
+    monkeypatch.setattr(common, "ROWS_PER_TASK", 20, raising=False)
+    assert services._objects(spark, sf_dir).rdd.getNumPartitions() >= 10  # 200 parts in one file
+    same(catalog.QUERIES["snk_attack_tables"](spark, sf_dir).toPandas(), whole)
