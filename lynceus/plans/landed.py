@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lynceus import schemas
 from lynceus.operators import merge, normalize, search, sections
-from lynceus.plans.common import CVES, query, rows, table
+from lynceus.plans.common import CVES, query, rows, rows_dealt, table
 from lynceus.plans.documents import _ID, _RAW, _STIX, _stix
 from lynceus.session import shared_folder
 from lynceus.sources import feeds, tables
@@ -169,12 +169,12 @@ UNION ALL SELECT {_ADVISORY}, 1, 'Summary', NULL, {_BODY} FROM part UNION ALL SE
 
 @query(f"SELECT advisory_id, CAST(ordinal AS INTEGER) AS ordinal, section_name, sub_section, text FROM ({_CUT})")
 def doc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.split(rows(spark, sf_dir, _PAGES), type_col=None)
+    return sections.split(rows_dealt(spark, sf_dir, _PAGES), type_col=None)
 
 
 @query(f"SELECT {_ADVISORY} AS advisory_id, CAST(0 AS INTEGER) AS ordinal, 'General' AS section_name, concat('Lead ', p_brand) AS text FROM part UNION ALL SELECT {_ADVISORY}, 1, 'Summary', {_BODY} FROM part UNION ALL SELECT {_ADVISORY}, 2, 'Mitigation', concat('Patch Patch ', p_type) FROM part")
 def doc_flat_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.flat(rows(spark, sf_dir, _PAGES))
+    return sections.flat(rows_dealt(spark, sf_dir, _PAGES))
 
 
 _PIECES = r"regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_\s]')"
@@ -183,13 +183,13 @@ _CHUNKS = f"SELECT concat(advisory_id, '_', lpad(CAST(ordinal AS VARCHAR), 3, '0
 
 @query(_CHUNKS)
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sections.chunks(rows(spark, sf_dir, _PAGES), type_col=None)
+    found = sections.chunks(rows_dealt(spark, sf_dir, _PAGES), type_col=None)
     return found.select("chunk_id", "advisory_id", "chunk_index", "section_name", "sub_section", "chunk_text", "token_count", "content_hash", F.array_join("cve_ids", ",").alias("cve_ids"))
 
 
 @query(f"SELECT advisory_id, cve_ids AS cve_ids_mentioned, '' AS mitre_ids_mentioned FROM ({_CHUNKS}) WHERE chunk_index = 1 AND advisory_id NOT LIKE 'aa%5-x' UNION ALL SELECT {_ADVISORY}, 'old', 'kept' FROM part WHERE p_partkey % 10 = 5")
 def snk_metadata_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = rows(spark, sf_dir, _PAGES)
+    pages = rows_dealt(spark, sf_dir, _PAGES)
     one = F.array(F.lit("old")), F.array(F.lit("kept"))
     target = pages.select("advisory_id", F.when(F.col("p_partkey") % 10 == 5, one[0]).alias("cve_ids_mentioned"), F.when(F.col("p_partkey") % 10 == 5, one[1]).alias("mitre_ids_mentioned"))
     noted = sections.mentions(sections.chunks(pages.where("p_partkey % 10 <> 5"), type_col=None))
@@ -202,7 +202,7 @@ _TYPED = "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'MAR' END AS docume
 
 @query("SELECT document_type, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'MAR' WHEN p_partkey % 4 = 1 THEN 'STOPRANSOMWARE' WHEN p_partkey % 4 = 2 THEN 'JOINT_CSA' ELSE 'CSA' END AS document_type FROM part) GROUP BY 1")
 def prj_lazy_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = rows(spark, sf_dir, _TYPED).withColumnRenamed("p_partkey", "advisory_id").withColumn("co_authors", F.lit(None).cast("array<string>"))
+    made = rows_dealt(spark, sf_dir, _TYPED).withColumnRenamed("p_partkey", "advisory_id").withColumn("co_authors", F.lit(None).cast("array<string>"))
     # a page is there twice, and an advisory stays one row
     pages = made.select("advisory_id", "html").unionByName(made.select("advisory_id", "html"))
     return sections.classified(made.drop("html"), pages).groupBy("document_type").agg(F.count("*").alias("n"))

@@ -107,3 +107,9 @@ def test_attack_objects_are_dealt_by_their_rows(spark, sf_dir, monkeypatch, same
     monkeypatch.setattr(common, "ROWS_PER_TASK", 20, raising=False)
     assert services._objects(spark, sf_dir).rdd.getNumPartitions() >= 10  # 200 parts in one file
     same(catalog.QUERIES["snk_attack_tables"](spark, sf_dir).toPandas(), whole)
+
+
+@pytest.mark.parametrize("name", ["doc_sections", "doc_flat_sections"])
+def test_made_pages_are_dealt_by_their_rows(name, spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(common, "ROWS_PER_TASK", 20, raising=False)
+    assert catalog.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 10  # 200 parts in one file
