@@ -227,13 +227,23 @@ def flat_sections(html: str | None) -> list[tuple[str, str]]:
     return out
 
 
+PAGES_AT_ONCE = 128
+
+
+def _small(stream):
+    """Batches of few pages: a page is many times its text while it is parsed."""
+    for batch in stream:
+        for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+            yield batch.slice(start, PAGES_AT_ONCE)
+
+
 def split(pages: DataFrame, *, id_col: str = "advisory_id", html_col: str = "html", type_col: str | None = "document_type") -> DataFrame:
     """``advisory_id, ordinal, section_name, sub_section, text``."""
     narrow = pages.select(F.col(id_col).alias("advisory_id"), F.col(html_col).alias("html"), (F.col(type_col) if type_col else F.lit("CSA")).alias("document_type"))
     kind = narrow.schema["advisory_id"].dataType.simpleString()
 
     def run(stream):
-        for batch in stream:
+        for batch in _small(stream):
             rows = [(k, n, *s) for k, (html, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())) for n, s in enumerate(sections(html, t))]
             at, n, name, sub, text = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(name, pa.string()), pa.array(sub, pa.string()), pa.array(text, pa.string())], names=["advisory_id", "ordinal", "section_name", "sub_section", "text"])
@@ -274,7 +284,7 @@ def classified(advisories: DataFrame, pages: DataFrame, *, id_col: str = "adviso
     kind = advisories.schema[id_col].dataType.simpleString()
 
     def run(stream):
-        for batch in stream:
+        for batch in _small(stream):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([clean(h).text("\n") for h in batch.column(1).to_pylist()], pa.string())], names=[id_col, "_body"])
 
     todo = advisories.where("document_type is null")
@@ -292,7 +302,7 @@ def flat(pages: DataFrame, *, id_col: str = "advisory_id", html_col: str = "html
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(stream):
-        for batch in stream:
+        for batch in _small(stream):
             rows = [(k, n, *s) for k, html in enumerate(batch.column(1).to_pylist()) for n, s in enumerate(flat_sections(html))]
             at, n, name, text = zip(*rows) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(name, pa.string()), pa.array(text, pa.string())], names=["advisory_id", "ordinal", "section_name", "text"])

@@ -3,10 +3,11 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lynceus.operators import graph, search
+from lynceus.operators import evaluate, graph, search, sections
 from lynceus.plans import catalog, common, landed, services
 from lynceus.sources import feeds
 
@@ -113,3 +114,11 @@ def test_attack_objects_are_dealt_by_their_rows(spark, sf_dir, monkeypatch, same
 def test_made_pages_are_dealt_by_their_rows(name, spark, sf_dir, monkeypatch):
     monkeypatch.setattr(common, "ROWS_PER_TASK", 20, raising=False)
     assert catalog.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 10  # 200 parts in one file
+
+
+def test_few_pages_are_parsed_at_once(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300))], names=["n"])
+    parts = list(sections._small([batch]))
+    assert max(b.num_rows for b in parts) <= 128 and pa.Table.from_batches(parts).column(0).to_pylist() == list(range(300))
+    pages = spark.range(300).selectExpr("id AS advisory_id", "concat('<main><p>text ', id, '</p></main>') AS html").coalesce(1)
+    assert sorted((r.advisory_id, r.text) for r in sections.split(pages, type_col=None).collect()) == [(k, f"text {k}") for k in range(300)]
