@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +82,9 @@ def same_triplet(p: tuple, g: tuple) -> bool:
     return any(same_entity(p[0], x) for x in variants(g[0])) and any(same_entity(p[2], x) for x in objects) and any(same_relation(p[1], g[1], x) for x in objects)
 
 
+ADVISORIES_AT_ONCE = 1024
+
+
 def extraction(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """``advisory_id, matched, gold, predicted, precision, recall, f1`` by greedy one-to-one matching.
 
@@ -93,23 +96,32 @@ def extraction(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     # fresh columns on both sides, which may come from one table
     gold, predicted = (side.select(*[F.concat(c, F.lit("")).alias(c) if kind_ == "string" else (F.col(c) + F.lit(0)).alias(c) for c, kind_ in ((c, side.schema[c].dataType.simpleString()) for c in wanted)]) for side in (gold, predicted))
 
-    def triplets(frame: pd.DataFrame) -> list[tuple]:
-        if frame.empty:  # a side without rows may come without columns
-            return []
-        return [tuple((x or "").strip().lower() for x in row) for row in frame.sort_values("ordinal")[["subject", "relation", "object"]].itertuples(index=False)]
+    def triplets(side: list[dict]) -> list[tuple]:
+        return [tuple((t[c] or "").strip().lower() for c in wanted[2:]) for t in side]
 
-    def run(key, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    def measures(g: list[dict], p: list[dict]) -> tuple:
         free, matched = triplets(p), 0
         for x in triplets(g):
             at = next((k for k, y in enumerate(free) if same_triplet(y, x)), None)
             if at is not None:
                 free.pop(at)
                 matched += 1
-        precision, recall = matched / len(p) if len(p) else 0.0, matched / len(g) if len(g) else 0.0
-        f1 = 2 * precision * recall / (precision + recall) if matched else 0.0
-        return pd.DataFrame([(key[0], matched, len(g), len(p), precision, recall, f1)])
-
-    return gold.groupBy("advisory_id").cogroup(predicted.groupBy("advisory_id")).applyInPandas(run, f"advisory_id {kind}, matched int, gold int, predicted int, precision double, recall double, f1 double")
+        precision, recall = matched / len(p) if p else 0.0, matched / len(g) if g else 0.0
+        return matched, len(g), len(p), precision, recall, 2 * precision * recall / (precision + recall) if matched else 0.0
+
+    def run(stream):
+        for batch in stream:
+            for start in range(0, batch.num_rows, ADVISORIES_AT_ONCE):
+                ids, g, p = batch.slice(start, ADVISORIES_AT_ONCE).columns
+                columns = zip(*[measures(*sides) for sides in zip(g.to_pylist(), p.to_pylist())])
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 3 + [pa.float64()] * 3)]], names=["advisory_id", "matched", "gold", "predicted", "precision", "recall", "f1"])
+
+    # a side's triplets as one array, in order: a group costs a row and not a call
+    per = lambda side, into: side.groupBy("advisory_id").agg(F.array_sort(F.collect_list(F.struct(F.isnull("ordinal").alias("_last"), *wanted[1:]))).alias(into))
+    none = F.array()
+    g, p = per(gold, "g"), per(predicted, "p").withColumnRenamed("advisory_id", "_id")
+    both = g.join(p, F.col("advisory_id").eqNullSafe(F.col("_id")), "full_outer").select(F.coalesce("advisory_id", "_id").alias("advisory_id"), F.coalesce("g", none).alias("g"), F.coalesce("p", none).alias("p"))
+    return both.mapInArrow(run, f"advisory_id {kind}, matched int, gold int, predicted int, precision double, recall double, f1 double")
 
 
 def exact_extraction(gold: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -122,3 +122,15 @@ def test_few_pages_are_parsed_at_once(spark):
     assert max(b.num_rows for b in parts) <= 128 and pa.Table.from_batches(parts).column(0).to_pylist() == list(range(300))
     pages = spark.range(300).selectExpr("id AS advisory_id", "concat('<main><p>text ', id, '</p></main>') AS html").coalesce(1)
     assert sorted((r.advisory_id, r.text) for r in sections.split(pages, type_col=None).collect()) == [(k, f"text {k}") for k in range(300)]
+
+
+def test_an_advisory_costs_a_row_and_not_a_call(spark, capsys):
+    kind = "advisory_id string, ordinal long, subject string, relation string, object string"
+    gold = spark.createDataFrame([(f"a{k}", n, f"Group {n}", "uses", f"tool {n}x") for k in range(40) for n in range(3)] + [("gold only", 1, "s", "uses", None), (None, 2, "abc", "uses", "def")], kind)
+    predicted = spark.createDataFrame([(f"a{k}", n, f"group{n} ", "uses", f"TOOL {n}X") for k in range(40) for n in range(2)] + [("predicted only", 1, "s", "uses", "o"), (None, 1, "abc", "uses", "def")], kind)
+    found = evaluate.extraction(gold, predicted)
+    got = {r.advisory_id: (r.matched, r.gold, r.predicted, round(r.f1, 6)) for r in found.collect()}
+    assert got == {**{f"a{k}": (2, 3, 2, 0.8) for k in range(40)}, "gold only": (0, 1, 0, 0.0), "predicted only": (0, 0, 1, 0.0), None: (1, 1, 1, 1.0)}
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "CoGroup" not in plan
