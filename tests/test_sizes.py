@@ -134,3 +134,12 @@ def test_an_advisory_costs_a_row_and_not_a_call(spark, capsys):
     found.explain()
     plan = capsys.readouterr().out
     assert "MapInArrow" in plan and "CoGroup" not in plan
+
+
+def test_rows_are_not_sent_more_often_the_more_there_are(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)], "id int, v array<float>")
+    pairs = lambda: sorted((r.a, r.b) for r in search.similar_pairs(rows, 0.99, id_col="id", vector_col="v", block=2).collect())
+    whole = pairs()
+    for name, value in (("MOST_BLOCKS", 3), ("TILE", 8)):
+        monkeypatch.setattr(search, name, value, raising=False)
+    assert pairs() == whole and search._blocks(rows.toDF("id", "v"), 2)[1] == 3
