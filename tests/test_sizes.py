@@ -143,3 +143,11 @@ def test_rows_are_not_sent_more_often_the_more_there_are(spark, monkeypatch):
     for name, value in (("MOST_BLOCKS", 3), ("TILE", 8)):
         monkeypatch.setattr(search, name, value, raising=False)
     assert pairs() == whole and search._blocks(rows.toDF("id", "v"), 2)[1] == 3
+
+
+def test_a_catalog_is_not_held_as_a_tree():
+    item = '<Weakness ID="{0}" Name="n" Abstraction="Base" Status="Draft"><Description> about <b>{0}</b> things </Description></Weakness>'
+    data = ('<c xmlns="http://cwe.mitre.org/cwe-7"><Other><Weakness ID="9"/></Other><Weaknesses>' + "".join(item.format(k) for k in range(3000)) + "</Weaknesses></c>").encode()
+    assert [(r[0], r[4]) for r in feeds.weakness_rows(data)] == [(str(k), f"about {k} things") for k in range(3000)]
+    reader = feeds._weaknesses(data)
+    assert max(len(list(reader.gi_frame.f_locals["above"][-1][1])) for _ in reader) < 1000  # a parser reads some way ahead
